@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Query parameters that only track the visitor (matched whole, any case).
 TRACKING_PATTERN = (
     r"(?i)^(utm_[a-z_]+|gclid|gclsrc|dclid|fbclid|msclkid|mc_[a-z]+|_hs[a-z]*|igshid|"
@@ -64,41 +66,56 @@ def url_origin(url: Column | str) -> Column:
     return F.regexp_extract(_col(url), rf"^({_SCHEME}://[^/?#]*)", 1)
 
 
+def _fold_dots(path: Column) -> Column:
+    def rebuilt(parts: Column) -> Column:
+        folded = F.aggregate(
+            parts,
+            F.array().cast("array<string>"),
+            lambda kept, part: F.when(part == ".", kept)
+            .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+            .otherwise(F.concat(kept, F.array(part))),
+        )
+        as_folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+        return F.regexp_replace(F.concat(F.lit("/"), F.array_join(folded, "/"), as_folder), r"^//+", "/")
+
+    return let(F.split(F.substring(path, 2, 2_147_483_647), "/", -1), rebuilt)
+
+
 def _without_dot_segments(path: Column) -> Column:
-    parts = F.split(F.substring(path, 2, 2_147_483_647), "/", -1)
-    folded = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda kept, part: F.when(part == ".", kept)
-        .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
-        .otherwise(F.concat(kept, F.array(part))),
-    )
-    ends_as_folder = F.element_at(parts, -1).isin(".", "..")
-    joined = F.concat(
-        F.lit("/"), F.array_join(folded, "/"), F.when(ends_as_folder & (F.size(folded) > 0), "/").otherwise("")
+    return let(path, lambda p: F.when(p.rlike(r"/\.\.?(/|$)"), _fold_dots(p)).otherwise(p))
+
+
+def _base_parts(base: Column) -> Column:
+    path = url_path(base)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    return F.struct(
+        F.regexp_extract(base, rf"^({_SCHEME}:)", 1).alias("scheme"),
+        url_origin(base).alias("origin"),
+        path.alias("path"),
+        F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")).alias("folder"),
+        F.regexp_extract(base, r"^([^#]*)", 1).alias("page"),
     )
-    return F.when(path.rlike(r"/\.\.?(/|$)"), joined).otherwise(path)
 
 
-def resolve_url(ref: Column | str, base: Column | str) -> Column:
-    """Resolve a link against the page it stands on (RFC 3986 reference resolution)."""
-    ref, base = _col(ref), _col(base)
-    origin = url_origin(base)
-    base_path = url_path(base)
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    ref_rest = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
+def _resolved(ref: Column, base: Column) -> Column:
+    """``ref`` against a struct of :func:`_base_parts`."""
+    path = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
+    rooted = F.when(ref.startswith("/"), path).otherwise(F.concat(base["folder"], path))
     return (
         F.when(ref.rlike(rf"^{_SCHEME}:"), ref)
-        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, rf"^({_SCHEME}:)", 1), ref))
-        .when((ref == "") | ref.startswith("#"), F.regexp_extract(base, r"^([^#]*)", 1))
-        .when(ref.startswith("?"), F.concat(origin, base_path, ref))
-        .when(ref.startswith("/"), F.concat(origin, _without_dot_segments(ref_path), ref_rest))
-        .otherwise(F.concat(origin, _without_dot_segments(F.concat(folder, ref_path)), ref_rest))
+        .when(ref.startswith("//"), F.concat(base["scheme"], ref))
+        .when((ref == "") | ref.startswith("#"), base["page"])
+        .when(ref.startswith("?"), F.concat(base["origin"], base["path"], ref))
+        .otherwise(F.concat(base["origin"], _without_dot_segments(rooted), rest))
     )
 
 
+def resolve_url(ref: Column | str, base: Column | str) -> Column:
+    """Resolve a link against the page it stands on (RFC 3986 reference resolution)."""
+    return let(_base_parts(_col(base)), lambda b: let(_col(ref), lambda r: _resolved(r, b)))
+
+
 def _decoded(part: Column) -> Column:
     """Form-decode one name or value; stray percent signs stay as they are."""
     safe = F.regexp_replace(part, r"%(?![0-9A-Fa-f]{2})", "%25")
@@ -122,12 +139,16 @@ def is_tracking_param(name: Column | str) -> Column:
 
 
 def _absolute(raw: Column, base: Column | None) -> Column:
-    """Trimmed, resolved URL without fragment; NULL for links that lead to no page."""
-    trimmed = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    text = F.regexp_replace(trimmed, r"[\t\r\n]", "")
-    if base is not None:
-        text = resolve_url(text, base)
-    return F.when((trimmed != "") & ~trimmed.rlike(NON_PAGE_PREFIX), F.regexp_extract(text, r"^([^#]*)", 1))
+    """Trimmed, resolved URL without fragment; NULL for links that lead to no page.
+
+    ``base`` is a struct of :func:`_base_parts` or None for absolute input.
+    """
+
+    def checked(text: Column) -> Column:
+        target = text if base is None else _resolved(text, base)
+        return F.when((text != "") & ~text.rlike(NON_PAGE_PREFIX), F.regexp_extract(target, r"^([^#]*)", 1))
+
+    return let(F.regexp_replace(raw, r"(?U)^\s+|\s+$|[\t\r\n]", ""), checked)
 
 
 def _split(url: Column) -> Column:
@@ -140,20 +161,34 @@ def _split(url: Column) -> Column:
     )
 
 
-def _assemble(p: Column) -> Column:
-    scheme, host = p["scheme"], p["host"]
-    port = F.regexp_replace(F.regexp_extract(p["host_port"], r":(\d*)$", 1), r"^0+", "")
-    port_ok = p["host_port"].rlike(r"^(\[[^\]]*\]|[^:]*)(:\d*)?$") & (
-        (port == "") | (F.try_to_number(port, F.lit("9999999999")) <= 65535)
+def _netloc(p: Column) -> Column:
+    """Host with its port unless that is the default; NULL for a port that is no port."""
+    default = F.when(p["scheme"] == "http", "80").otherwise("443")
+    valid = p["host_port"].rlike(r"^(\[[^\]]*\]|[^:]*)(:\d*)?$")
+
+    def with_port(port: Column) -> Column:
+        in_range = F.try_to_number(port, F.lit("9999999999")) <= 65535
+        return F.when(valid & (port.isin("") | (port == default)), p["host"]).when(
+            valid & in_range, F.concat(p["host"], F.lit(":"), port)
+        )
+
+    return let(F.regexp_replace(F.regexp_extract(p["host_port"], r":(\d*)$", 1), r"^0+", ""), with_port)
+
+
+def _clean_query(query: Column) -> Column:
+    """``?a=1&b=2`` of the kept parameters in sorted order, or ''."""
+    kept = F.filter(F.array_sort(query_pairs(query)), lambda kv: ~is_tracking_param(kv["k"]))
+    pairs = F.array_join(F.transform(kept, lambda kv: F.concat(kv["k"], F.lit("="), kv["v"])), "&")
+    return F.when(query == "", "").otherwise(
+        let(pairs, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
     )
-    default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    netloc = F.when((port == "") | default_port, host).otherwise(F.concat(host, F.lit(":"), port))
+
+
+def _assemble(p: Column) -> Column:
     path = F.when(p["path"] == "", "/").otherwise(F.regexp_replace(p["path"], r"/index\.(html|htm|php)$", "/"))
-    kept = F.filter(F.array_sort(query_pairs(p["query"])), lambda kv: ~is_tracking_param(kv["k"]))
-    query = F.array_join(F.transform(kept, lambda kv: F.concat(kv["k"], F.lit("="), kv["v"])), "&")
-    tail = F.when((p["query"] == "") | (query == ""), "").otherwise(F.concat(F.lit("?"), query))
     return F.when(
-        scheme.isin("http", "https") & (host != "") & port_ok, F.concat(scheme, F.lit("://"), netloc, path, tail)
+        p["scheme"].isin("http", "https") & (p["host"] != ""),
+        F.concat(p["scheme"], F.lit("://"), _netloc(p), path, _clean_query(p["query"])),
     )
 
 
@@ -163,17 +198,18 @@ def canonical_url(url: Column | str, base: Column | str | None = None) -> Column
     Fragment, default port, user info, doubled slashes, index files and tracking
     parameters go; the host is lower-cased and the other parameters are sorted.
     """
-    return _assemble(_split(_absolute(_col(url), None if base is None else _col(base))))
+    if base is None:
+        target = _absolute(_col(url), None)
+    else:
+        target = let(_base_parts(_col(base)), lambda b: _absolute(_col(url), b))
+    return let(target, lambda t: let(_split(t), _assemble))
 
 
 def canonical_urls(urls: Column, base: Column) -> Column:
-    """Canonical form of a link array against one base, NULLs and repeats dropped.
-
-    Chained transforms keep every intermediate value, so no pattern runs twice per link.
-    """
-    resolved = F.transform(urls, lambda u: _absolute(u, base))
-    parts = F.transform(F.filter(resolved, lambda u: u.isNotNull()), _split)
-    return F.array_distinct(F.filter(F.transform(parts, _assemble), lambda u: u.isNotNull()))
+    """Canonical form of a link array against one base, NULLs and repeats dropped."""
+    targets = let(_base_parts(base), lambda b: F.transform(urls, lambda u: _absolute(u, b)))
+    finished = F.transform(F.transform(targets, _split), _assemble)
+    return F.array_distinct(F.filter(finished, lambda u: u.isNotNull()))
 
 
 def in_domains(url: Column | str, domains: Sequence[str]) -> Column:

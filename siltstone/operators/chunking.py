@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.binding import let
 from ..schemas import CHUNK
 
 CHUNK_SIZE = 700
@@ -17,12 +18,16 @@ OVERLAP = 100
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Overlapping word windows; a text that fits stays as it is, a blank one yields none."""
     step = max(1, size - overlap)
-    words = T.words(text)
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int") * step, F.lit(step))
-    cut = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
-    whole = F.when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.when(n <= size, whole).otherwise(cut)
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.sequence(F.lit(0), F.ceil((n - size) / step).cast("int") * step, F.lit(step))
+        whole = F.when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+        return F.when(n <= size, whole).otherwise(
+            F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
+        )
+
+    return let(T.words(text), cut)
 
 
 def _group_starts(counts: Column, size: int) -> Column:
