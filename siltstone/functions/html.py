@@ -232,7 +232,7 @@ def page_columns(parsed: Column, url: Column, asset_extensions: list[str] = U.AS
     return {
         "title": parsed["title"],
         "description": parsed["description"],
-        "keywords": F.filter(F.transform(F.split(parsed["keywords"], ","), F.trim), lambda k: k != ""),
+        "keywords": F.filter(F.transform(F.split(parsed["keywords"], ","), lambda k: F.trim(k)), lambda k: k != ""),
         "published_at": parsed["published_at"],
         "modified_at": parsed["modified_at"],
         "language": parsed["language"],
@@ -272,7 +272,7 @@ def html_lang(html: Column | str) -> Column:
 
 def html_meta(html: Column | str, name: str, kind: str = "name") -> Column:
     """``content`` of the first meta tag whose name (or property) matches."""
-    tag = F.regexp_extract(html, rf"""(?is)(<meta[^>]*\s{kind}=["']?{name}["']?[^>]*>)""", 1)
+    tag = F.regexp_extract(html, rf"""(?s)(<(?i:meta)[^>]*\s(?i:{kind})=["']?{name}["']?[\s/>][^>]*>?)""", 1)
     return F.trim(unescape(F.regexp_extract(tag, r"""(?is)\scontent=["']([^"']*)""", 1)))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from .binding import let
 from .text import index_terms
 
 # Prefixes the embedding model families were trained with.
@@ -28,9 +32,15 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def unit(vec: Column | str) -> Column:
     """Scale to length one; a zero vector stays zero."""
-    v = doubles(vec)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+    def scaled(v: Column, norm: Column) -> Column:
+        return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+    def with_norm(v: Column) -> Column:
+        squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+        return let(F.sqrt(squares), lambda norm: scaled(v, norm))
+
+    return let(doubles(vec), with_norm)
 
 
 def term_bucket(term: Column, dim: int) -> Column:
@@ -38,18 +48,29 @@ def term_bucket(term: Column, dim: int) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 2), 16, 10).cast("int") % dim
 
 
+def _unit_counts(dim: int):
+    """UDF: arrays of bucket numbers to unit vectors of bucket counts, one batch at a time."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def counts(buckets: pd.Series) -> pd.Series:
+        rows = [np.asarray(b if b is not None else [], dtype=np.int64) for b in buckets]
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        cells = np.repeat(np.arange(len(rows)), sizes) * dim
+        flat = np.concatenate(rows) if rows else np.array([], dtype=np.int64)
+        table = np.bincount(cells + flat, minlength=len(rows) * dim).reshape(len(rows), dim).astype(float)
+        norms = np.linalg.norm(table, axis=1, keepdims=True)
+        return pd.Series(list(table / np.where(norms > 0, norms, 1.0)))
+
+    return counts
+
+
 def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
     """Model-free default embedding: unit vector of hashed term counts.
 
     A real model is injected as a ``pandas_udf`` with the same signature
     (text column in, unit ``array<double>`` out).
     """
-    buckets = F.transform(index_terms(text), lambda t: term_bucket(t, dim))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
-    )
-    return unit(counts)
+    return _unit_counts(dim)(F.transform(index_terms(text), lambda t: term_bucket(t, dim)))
 
 
 def prefixed(text: Column | str, model: str, is_query: bool) -> Column:

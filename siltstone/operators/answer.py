@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import NO_ANSWER_TEXT, index_terms, word_count
 
 # A sentence with citation markers, one marker, and a verdict line.
@@ -116,39 +117,34 @@ def parse_verdicts(reply: Column | str) -> Column:
     """``map<number, struct<supported,reason>>``; the last line of a number wins."""
     lines = F.filter(F.split(F.coalesce(_col(reply), F.lit("")), r"\r\n|\r|\n"), lambda x: x.rlike(VERDICT_LINE))
     number = lambda x: F.regexp_extract(x, VERDICT_LINE, 1)
-    entries = F.transform(
-        lines,
-        lambda x: F.struct(
-            number(x).alias("number"),
-            F.struct(
-                (F.upper(F.regexp_extract(x, VERDICT_LINE, 2)) == "SUPPORTED").alias("supported"),
-                _strip(F.regexp_extract(x, VERDICT_LINE, 3)).alias("reason"),
-            ).alias("verdict"),
-        ),
-    )
-    last = F.filter(
-        F.transform(entries, lambda e, i: F.struct(e["number"].alias("number"), e["verdict"].alias("verdict"), i.alias("i"))),
-        lambda e: ~F.exists(entries_after(entries, e["i"]), lambda later: later["number"] == e["number"]),
+    entry = lambda x: F.struct(
+        number(x).alias("number"),
+        F.struct(
+            (F.upper(F.regexp_extract(x, VERDICT_LINE, 2)) == "SUPPORTED").alias("supported"),
+            _strip(F.regexp_extract(x, VERDICT_LINE, 3)).alias("reason"),
+        ).alias("verdict"),
     )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["number"], e["verdict"])))
 
+    def last_per_number(entries: Column) -> Column:
+        later = lambda i: F.slice(entries, i + 2, F.size(entries))
+        kept = F.filter(entries, lambda e, i: ~F.exists(later(i), lambda o: o["number"] == e["number"]))
+        return F.map_from_entries(kept)
 
-def entries_after(entries: Column, index: Column) -> Column:
-    return F.slice(entries, index + 2, F.size(entries))
+    return let(F.transform(lines, entry), last_per_number)
 
 
 def judge_claims(claims: Column, verdicts: Column) -> Column:
     """Claims with ``supported, reason``; a claim without a readable verdict passes."""
 
-    def judged(c: Column, i: Column) -> Column:
-        verdict = F.try_element_at(verdicts, (i + 1).cast("string"))
+    def judged(c: Column, i: Column, by_number: Column) -> Column:
+        verdict = F.try_element_at(by_number, (i + 1).cast("string"))
         return F.struct(
             c["sentence"].alias("claim"), c["markers"].alias("citations"),
             F.coalesce(verdict["supported"], F.lit(True)).alias("supported"),
             F.coalesce(verdict["reason"], F.lit("")).alias("reason"),
         )
 
-    return F.transform(claims, judged)
+    return let(verdicts, lambda m: F.transform(claims, lambda c, i: judged(c, i, m)))
 
 
 def verification(answer: Column | str, citations: Column | str, checks: Column) -> Column:
@@ -159,21 +155,33 @@ def verification(answer: Column | str, citations: Column | str, checks: Column)
     """
     valid = F.transform(_col(citations), lambda c: c["marker"])
     used = F.array_sort(F.array_distinct(markers_in(answer)))
-    unknown = F.array_except(used, valid)
-    markers_ok = (F.size(used) > 0) & (F.size(unknown) == 0)
-    counted = F.when(markers_ok, checks).otherwise(F.slice(checks, 1, 0))
-    bad = F.filter(counted, lambda c: ~c["supported"])
-    share = F.bround(1 - F.size(bad) / F.greatest(F.size(counted), F.lit(1)), 2)
-    confidence = (
-        F.when(~markers_ok & (F.size(used) > 0), 0.5).when(~markers_ok, 0.2).when(F.size(counted) > 0, share).otherwise(1.0)
-    )
-    return F.struct(
-        (markers_ok & (F.size(bad) == 0)).alias("grounded"),
-        used.alias("citations_used"),
-        unknown.alias("unsupported_citations"),
-        F.transform(bad, lambda c: F.struct(c["claim"], c["citations"], c["reason"])).alias("unsupported_claims"),
-        confidence.alias("confidence"),
-    )
+
+    def judge(m: Column) -> Column:
+        has_markers = F.size(m["used"]) > 0
+        markers_ok = has_markers & (F.size(m["unknown"]) == 0)
+        counted = F.when(markers_ok, m["checks"]).otherwise(F.slice(m["checks"], 1, 0))
+        return let(
+            F.struct(
+                m["used"].alias("used"), m["unknown"].alias("unknown"), markers_ok.alias("ok"), has_markers.alias("any"),
+                F.size(counted).alias("n"), F.filter(counted, lambda c: ~c["supported"]).alias("bad"),
+            ),
+            verdict,
+        )
+
+    def verdict(v: Column) -> Column:
+        share = F.bround(1 - F.size(v["bad"]) / F.greatest(v["n"], F.lit(1)), 2)
+        confidence = F.when(~v["ok"], F.when(v["any"], 0.5).otherwise(0.2)).when(v["n"] > 0, share).otherwise(1.0)
+        return F.struct(
+            (v["ok"] & (F.size(v["bad"]) == 0)).alias("grounded"),
+            v["used"].alias("citations_used"),
+            v["unknown"].alias("unsupported_citations"),
+            F.transform(v["bad"], lambda c: F.struct(c["claim"].alias("claim"), c["citations"].alias("citations"),
+                                                     c["reason"].alias("reason"))).alias("unsupported_claims"),
+            confidence.alias("confidence"),
+        )
+
+    markers = let(used, lambda u: F.struct(u.alias("used"), F.array_except(u, valid).alias("unknown"), checks.alias("checks")))
+    return let(markers, judge)
 
 
 def wants_retry(retry_count: Column | str, n_reranked: Column, grounded: Column, max_retries: int) -> Column:

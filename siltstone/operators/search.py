@@ -10,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import index_terms
 from ..functions.vectors import dot, doubles
-from ..session import materialise
+from ..session import materialise, spread
 from .ranks import top_k_per
 
 # BM25 constants, field boosts and the rank-fusion constant.
@@ -76,7 +77,7 @@ def matched_index(docs: DataFrame, wanted: DataFrame, doc_id: str, fields: list[
     out of the same scan. The result holds matches only and is written once, because three
     branches (statistics, document frequencies, scores) read it.
     """
-    terms = field_terms(docs, doc_id, fields, analyze)
+    terms = field_terms(spread(docs), doc_id, fields, analyze)
     total = wanted.sparkSession.range(1).select(F.lit(_TOTALS).alias("term"))
     vocabulary = wanted.select("term").distinct().unionByName(total)
     hits = (
@@ -99,9 +100,15 @@ def bm25_scores(
     """
     frequencies = term_stats(post) if frequencies is None else frequencies
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # The small tables meet first, so the postings take part in a single join. Written out, the
+    # lookup has a known size: Spark broadcasts it when it is small and shuffles when it is not.
+    lookup = materialise(
+        frequencies.join(stats, "field").join(wanted, "term")
+        .select("field", "term", *keys, (F.col("qtf") * idf).alias("weight"), "avg_dl"),
+        "weights",
+    )
     saturation = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weights = frequencies.join(stats, "field").select("field", "term", idf.alias("idf"), "avg_dl")
-    scored = post.join(weights, ["field", "term"]).join(wanted, "term").withColumn("w", F.col("qtf") * F.col("idf") * saturation)
+    scored = post.join(lookup, ["field", "term"]).select(*keys, "doc_id", "field", (F.col("weight") * saturation).alias("w"))
     per_field = [F.sum(F.when(F.col("field") == f, F.col("w"))) * boost for f, boost in boosts.items()]
     best = F.greatest(*[F.coalesce(s, F.lit(0.0)) for s in per_field]) if len(per_field) > 1 else per_field[0]
     return scored.groupBy(*keys, "doc_id").agg(F.round(best, 6).alias("score"))
@@ -164,6 +171,7 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int =
                  f"{vectors.schema['doc_id'].dataType.simpleString()}, score double"
         qids = [r.query_id for r in head]
         matrix = np.array([r.embedding for r in head], dtype=float)
+        qid_type, doc_type = (to_arrow_type(f.dataType) for f in (queries.schema["query_id"], vectors.schema["doc_id"]))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict = {}
@@ -173,9 +181,8 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int =
                     ids = batch.column(0).to_numpy(zero_copy_only=False)
                     _merge_block(best, qids, matrix, ids, flat.reshape(batch.num_rows, -1), k)
             for qid, (s, i) in best.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qid] * len(s)), pa.array(i.tolist()), pa.array(s)], names=["query_id", "doc_id", "score"]
-                )
+                columns = [pa.array([qid] * len(s), qid_type), pa.array(i.tolist(), doc_type), pa.array(s, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
 
         found = vectors.mapInArrow(local, schema)
     return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import chunking as C
 from ..operators import evaluate as E
 from ..operators import search as S
-from ..session import materialise
+from ..session import materialise, spread
 from .catalog import query, table
 from .report_queries import SQL_WORDS
 
@@ -68,7 +68,7 @@ def sql_rrf(lists: str, prefix: str, k: int) -> str:
 
 
 def search_docs(spark, sf_dir, embed: bool = False):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.col("text").alias("content"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("source").alias("section"),
     )

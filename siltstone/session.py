@@ -59,3 +59,14 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Feed all cores from an input with too few splits; a no-op for well-split tables.
+
+    Only for CPU-heavy per-row work (parsing, tokenising) on a scan: a handful of small files
+    would otherwise run in a handful of tasks. Inputs with at least as many splits as the
+    cluster has cores are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
