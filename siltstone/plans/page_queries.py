@@ -175,7 +175,7 @@ def charset_detect(spark, sf_dir):
     header = F.when(url.endswith(".html"), "text/html; Charset='iso-8859-2'")
     rows = spread(table(spark, sf_dir, "pages")).select("page_id", title.alias("title"), ascii_title.alias("plain"), body.alias("body"), header.alias("header"))
     rows = rows.withColumn("charset", X.charset_of("header", "body")).withColumn("decoded", X.decode_body("body", "charset"))
-    found = F.contains("decoded", F.regexp_extract("plain", r"([A-Za-z]*)$", 1))
+    found = F.contains("decoded", F.regexp_extract("title", r"([A-Za-z]+)", 1))
     return rows.select("page_id", "charset", found.alias("same"))
 
 
