@@ -78,25 +78,22 @@ def _packed(sections: Column, groups: Column, size: int, overlap: int) -> Column
 
 
 def pack_sections(
-    df: DataFrame, sections: str = "sections", size: int = CHUNK_SIZE, overlap: int = OVERLAP,
-    count_tokens: Callable[[Column], Column] = T.token_count, into: str = "parts",
-) -> DataFrame:
-    """Add ``into``: chunk parts of the section array.
-
-    Counts and group starts become columns of their own first, so the fold runs once per row.
-    """
+    sections: Column | str, size: int = CHUNK_SIZE, overlap: int = OVERLAP,
+    count_tokens: Callable[[Column], Column] = T.token_count,
+) -> Column:
+    """``array<struct<label,content>>``: small sections merged, oversized ones windowed."""
     clean = F.transform(
-        F.col(sections),
+        F.col(sections) if isinstance(sections, str) else sections,
         lambda s: F.struct(
             F.coalesce(s["heading"], F.lit("")).alias("heading"), F.coalesce(s["text"], F.lit("")).alias("text")
         ),
     )
-    return (
-        df.withColumn("_sections", clean)
-        .withColumn("_groups", _group_starts(F.transform("_sections", lambda s: count_tokens(s["text"])), size))
-        .withColumn(into, _packed(F.col("_sections"), F.col("_groups"), size, overlap))
-        .drop("_sections", "_groups")
-    )
+
+    def packed(rows: Column) -> Column:
+        counts = F.transform(rows, lambda s: count_tokens(s["text"]))
+        return let(_group_starts(counts, size), lambda groups: _packed(rows, groups, size, overlap))
+
+    return let(clean, packed)
 
 
 def chunk_documents(
@@ -108,17 +105,14 @@ def chunk_documents(
     Blank parts are dropped but keep their index. Narrow: the plan has no exchange.
     """
     parent = F.coalesce(F.nullif("id", F.lit("")), F.substring(F.coalesce("content_hash", F.lit("")), 1, 32))
-    text = F.coalesce("text", F.lit(""))
     plain = F.transform(
-        windows(text, size, overlap),
+        windows(F.coalesce("text", F.lit("")), size, overlap),
         lambda w: F.struct(F.coalesce("title", F.lit("")).alias("label"), w.alias("content")),
     )
     structured = F.coalesce(F.size("sections"), F.lit(0)) > 0
-    # Empty sections for fallback rows: the packing fold then does nothing for them.
-    prepared = docs.withColumn("sections", F.coalesce("sections", F.array().cast(docs.schema["sections"].dataType)))
-    packed = pack_sections(prepared, "sections", size, overlap, count_tokens)
-    parts = packed.withColumn("parts", F.when(structured, F.col("parts")).otherwise(plain)).withColumn("parent_id", parent)
-    rows = parts.select("*", F.posexplode("parts").alias("chunk_index", "_part")).drop("sections", "parts", "text")
+    parts = F.when(structured, pack_sections("sections", size, overlap, count_tokens)).otherwise(plain)
+    rest = [c for c in docs.columns if c not in ("sections", "text", "id", "content_hash")]
+    rows = docs.select(*rest, parent.alias("parent_id"), F.posexplode(parts).alias("chunk_index", "_part"))
     content = F.col("_part.content")
 
     def default(name: str, fallback: Column = F.lit("")) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import profile as P
+from ..session import spread
 from .catalog import query, table
 from .url_queries import sql_host
 
@@ -28,7 +29,7 @@ corpus AS (
 
 def corpus(spark, sf_dir):
     """Documents and labels read as a crawled corpus of pages and linked files."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     lang = F.col("lang")
     asset = (F.coalesce("toxic", F.lit(0)) == 1) | (F.col("source") == "src3")
     return docs.join(labels, "doc_id", "left").select(
@@ -111,7 +112,7 @@ def host_share(spark, sf_dir):
 
 @query(f"""SELECT doc_id, array_to_string({SQL_TERMS.format('text')}, ' ') AS terms FROM documents""")
 def tokenize_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.report_terms("text"), " ").alias("terms"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(T.report_terms("text"), " ").alias("terms"))
 
 
 @query(
@@ -122,7 +123,7 @@ def tokenize_terms(spark, sf_dir):
 SELECT phrase, COUNT(*) AS n FROM b GROUP BY 1 ORDER BY n DESC, phrase LIMIT 25"""
 )
 def bigram_topk(spark, sf_dir):
-    page = table(spark, sf_dir, "pages").select(H.parsed_page("html").alias("p"))
+    page = spread(table(spark, sf_dir, "pages")).select(H.parsed_page("html").alias("p"))
     return P.topic_counts(page.select("p.title", "p.headings"))
 
 
@@ -131,7 +132,7 @@ def bigram_topk(spark, sf_dir):
 SELECT term, COUNT(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, term LIMIT 25"""
 )
 def term_df_topk(spark, sf_dir):
-    return P.term_frequencies(table(spark, sf_dir, "documents"))
+    return P.term_frequencies(spread(table(spark, sf_dir, "documents")))
 
 
 @query(

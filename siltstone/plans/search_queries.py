@@ -85,7 +85,7 @@ SQL_QUESTIONS = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark
 
 @query(f"""SELECT doc_id, array_to_string({SQL_TOK.format('text')}, ' ') AS terms FROM documents""")
 def analyze_terms(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.index_terms("text"), " ").alias("terms"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(T.index_terms("text"), " ").alias("terms"))
 
 
 @query()
@@ -285,7 +285,7 @@ def sectioned(spark, sf_dir):
     ))
     structured = F.col("lang") != "es"
     text_type = "array<struct<heading:string,level:int,text:string>>"
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("content_hash"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.lit("").alias("canonical_url"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "text",
@@ -349,7 +349,7 @@ def token_count(spark, sf_dir):
 SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos, unnest(parts) AS content FROM w"""
 )
 def chunk_window(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.posexplode(C.windows(F.col("text"), CHUNK, OVERLAP)).alias("pos", "content")
     )
 
@@ -360,7 +360,7 @@ def chunk_window(spark, sf_dir):
 )
 def chunk_pack(spark, sf_dir):
     docs = sectioned(spark, sf_dir).filter(F.size("sections") > 0)
-    packed = C.pack_sections(docs, "sections", CHUNK, OVERLAP)
+    packed = docs.select("id", C.pack_sections("sections", CHUNK, OVERLAP).alias("parts"))
     return packed.select(
         F.col("id").alias("parent_id"), F.size("parts").cast("bigint").alias("parts"),
         F.array_join(F.transform("parts", lambda p: p["label"]), "|").alias("labels"),
