@@ -162,7 +162,7 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int =
     set takes :func:`_knn_blocks`, which is exact as well and broadcasts nothing.
     """
     queries = queries.select("query_id", doubles("embedding").alias("embedding"))
-    vectors = vectors.filter(F.col("embedding").isNotNull()).select("doc_id", doubles("embedding").alias("embedding"))
+    vectors = vectors.select("doc_id", doubles("embedding").alias("embedding"))
     head = queries.limit(max_queries + 1).collect()
     if len(head) > max_queries:
         found = _knn_blocks(vectors, queries, k, max_queries)
@@ -176,6 +176,8 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int =
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict = {}
             for batch in batches:
+                # Rows without a vector go here: a filter in Spark would run the embedding model twice.
+                batch = batch.filter(batch.column(1).is_valid())
                 if batch.num_rows and qids:
                     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                     ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -207,6 +209,7 @@ def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int
 
     def pair(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         best: dict = {}
+        v = v[v["embedding"].notna()]
         if len(v) and len(q):
             _merge_block(best, q["query_id"].tolist(), np.stack(q["embedding"]), v["doc_id"].to_numpy(),
                          np.stack(v["embedding"]), k)
