@@ -102,7 +102,9 @@ def http_fetch(config: CrawlConfig, transport: Transport = urllib_transport, sle
                         headers["If-Modified-Since"] = r.last_modified
                     sleep(max(0.0, began + float(r.start_at) - time.time()))
                     out.append(_attempts(r.url, headers, config, transport, sleep))
-                yield pd.DataFrame(out, columns=RAW_RESPONSE.names)
+                rows = [[reply.get(name) for name in RAW_RESPONSE.names] for reply in out]
+                frame = pd.DataFrame(rows, columns=RAW_RESPONSE.names, dtype=object)
+                yield frame.assign(status=frame["status"].astype("Int32"))
 
         slots = requests.select("url", "etag", "last_modified", "start_at")
         return slots.repartition(config.max_workers, "start_at", "url").mapInPandas(run, RAW_RESPONSE)
