@@ -88,6 +88,6 @@ class AnswerConfig:
     semantic_verification: bool = True
     # Whole evidence by default; 1200 reproduces the reference's prompt size.
     evidence_max_chars: int | None = None
-    # Word appended to very short questions.
-    product_keyword: str = "SearchUnify"
+    # Word appended to questions of at most two words, usually the product's name.
+    product_keyword: str = ""
     rrf_k: int = 60

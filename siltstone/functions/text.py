@@ -9,15 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words the corpus report leaves out of its rankings.
+# Words the corpus report leaves out of its rankings (callers add their product's name).
 REPORT_STOPWORDS = (
     """a an the and or but if then than that this these those of in on at to for with from by as is are was
     were be been being it its it's you your we our us they their he she his her i me my what which who whom
     how when where why can could should would will shall may might must do does did done have has had not no
     yes so such about into over under more most less least other others new all any each few many much some
     own same very just now also there here get got make made use used using via per vs top best need needs
-    way ways thing things one two three know knows help helps let lets don't doesn't isn't you're it’s –
-    searchunify"""
+    way ways thing things one two three know knows help helps let lets don't doesn't isn't you're it’s –"""
 ).split()
 # The stop words of Lucene's English analyzer.
 ENGLISH_STOPWORDS = (
@@ -28,6 +27,7 @@ ENGLISH_STOPWORDS = (
 REPORT_WORD = r"[a-z][a-z0-9'\-]{2,}"
 INDEX_WORD = r"[\p{L}\p{N}]+"
 
+# The reply when nothing was retrieved, and the part by which evaluation knows it.
 NO_ANSWER_TEXT = "I couldn't find anything in the indexed corpus to answer that."
 NO_ANSWER_MARKER = "couldn't find anything in the indexed corpus"
 

@@ -25,7 +25,7 @@ def _strip(text: Column) -> Column:
 def rewrite_query(query: Column | str, keyword: str) -> Column:
     """Trimmed question; one of at most two words gets the product keyword appended."""
     q = _strip(_col(query))
-    return F.when(word_count(q) <= 2, F.concat(q, F.lit(f" {keyword}"))).otherwise(q)
+    return F.when(word_count(q) <= 2, F.concat(q, F.lit(f" {keyword}"))).otherwise(q) if keyword else q
 
 
 def parse_variants(reply: Column | str, fallback: Column | str, n: int) -> Column:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import index_terms
 from ..functions.vectors import dot, doubles
@@ -231,15 +232,20 @@ def train_cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> DataFrame:
 
 
 def nearest_cells(vectors: DataFrame, cells: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The ``n`` closest cells of every vector (the cell table has ``n_cells`` rows, by design)."""
-    centroids = [(r.cell, [float(x) for x in r.centroid]) for r in cells.collect()]
-    ranked = F.array_sort(
-        F.array(*[F.struct((-dot(F.col("embedding"), F.array(*[F.lit(x) for x in c]))).alias("d"), F.lit(i).alias("cell"))
-                  for i, c in centroids])
-    )
-    return vectors.select(id_col, "embedding", F.explode(F.slice(ranked, 1, n)).alias("_c")).select(
-        id_col, "embedding", F.col("_c.cell").alias("cell")
-    )
+    """The ``n`` closest cells of every vector.
+
+    The cell table has as many rows as cells were asked for, so it travels to the tasks whole.
+    """
+    rows = cells.orderBy("cell").collect()
+    numbers, matrix = np.array([r.cell for r in rows]), np.array([r.centroid for r in rows], dtype=float)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def closest(embedding: pd.Series) -> pd.Series:
+        scores = np.stack([np.asarray(v, dtype=float) for v in embedding]) @ matrix.T
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        return pd.Series(list(numbers[order]))
+
+    return vectors.select(id_col, "embedding", F.explode(closest(doubles("embedding"))).alias("cell"))
 
 
 def knn_cells(vectors: DataFrame, queries: DataFrame, cells: DataFrame, k: int, probes: int, splits: int = 16) -> DataFrame:

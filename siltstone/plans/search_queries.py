@@ -47,13 +47,14 @@ def sql_embed(relation: str, key: str, text: str, result: str, dim: int = 64) ->
 {result} AS MATERIALIZED (SELECT {key}, list_transform(range({dim}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM {result}_b)"""
 
 
-def sql_knn(queries: str, vectors: str, prefix: str, k: int) -> str:
-    """CTEs ending in ``{prefix}_top``; ``queries (query_id, v)`` and ``vectors (doc_id, v)`` need not be unit vectors."""
+def sql_knn(queries: str, vectors: str, prefix: str, k: int, doc_length: str = "1") -> str:
+    """CTEs ending in ``{prefix}_top`` over ``queries (query_id, v)``, scaled to unit length, and ``vectors (doc_id, v)``,
+    scaled by ``doc_length`` (``d.l`` for their own length)."""
     norm = "sqrt(list_inner_product({0}, {0}))"
     return f"""
 {prefix}_q AS (SELECT query_id, v, {norm.format('v')} AS l FROM {queries}),
 {prefix}_d AS (SELECT doc_id, v, {norm.format('v')} AS l FROM {vectors}),
-{prefix}_m AS (SELECT query_id, doc_id, round(CASE WHEN q.l = 0 OR d.l = 0 THEN 0 ELSE list_inner_product(q.v, d.v) / q.l / d.l END, 6) AS score
+{prefix}_m AS (SELECT query_id, doc_id, round(CASE WHEN q.l = 0 OR {doc_length} = 0 THEN 0 ELSE list_inner_product(q.v, d.v) / q.l / {doc_length} END, 6) AS score
   FROM {prefix}_q q, {prefix}_d d),
 {prefix}_top AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM {prefix}_m QUALIFY rank <= {k})"""
@@ -214,7 +215,7 @@ SQL_DOC_VECTORS = sql_embed("documents", "doc_id", "text", "dv")
 
 def sql_hybrid(queries: str, prefix: str, k: int) -> str:
     return f"""{sql_bm25(queries, prefix + 'b', k)},
-{sql_embed(queries, 'query_id', 'query', prefix + '_qv')},{sql_knn(prefix + '_qv', 'dv', prefix + 'k', k)},
+{sql_embed(queries, 'query_id', 'query', prefix + '_qv')},{sql_knn(prefix + '_qv', 'dv', prefix + 'k', k, 'd.l')},
 {prefix}_l AS (SELECT query_id, 0 AS list_no, rank, doc_id FROM {prefix}b_top UNION ALL SELECT query_id, 1, rank, doc_id FROM {prefix}k_top),
 {sql_rrf(prefix + '_l', prefix, k)}"""
 

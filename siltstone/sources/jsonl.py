@@ -36,9 +36,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def torn_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row: how many lines could not be read."""
-    rows = scan_documents(spark, path).select(_TORN, "id")
-    return rows.agg(F.count_if(F.col(_TORN).isNotNull()).alias("torn"))
+    """One row: how many non-blank lines are not JSON (a crawl may still be writing)."""
+    lines = spark.read.option("lineSep", "\n").text(_pattern(path, "documents_"))
+    torn = (F.trim("value") != "") & F.try_parse_json("value").isNull()
+    return lines.agg(F.count_if(torn).alias("torn"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
