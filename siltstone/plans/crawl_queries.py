@@ -12,6 +12,7 @@ from ..operators import frontier as FR
 from ..operators import sitemaps as SM
 from ..session import materialise, spread
 from .catalog import query, table
+from .page_queries import SQL_MAIN
 from .url_queries import SQL_IS_DOCUMENT, SQL_LINKS, SQL_MEDIA, SQL_MEDIA_TYPE, SQL_RESPONSES, page_links, responses, sql_canonical, sql_host
 
 CONFIG = CrawlConfig(
@@ -221,7 +222,13 @@ def sitemap_discover(spark, sf_dir):
     return SM.discover(index.unionByName(leaf), index.select("url"))
 
 
-@query()
+@query(
+    "WITH " + SQL_MAIN + ", v AS (SELECT page_id, url AS u, text FROM main), " + sql_canonical("v", "c")
+    + f""", f AS (SELECT canon AS url, arg_min(text, page_id) AS text FROM c
+   WHERE regexp_matches({sql_host('canon')}, '(^|\\.)example\\.(com|org)$') AND NOT regexp_matches(canon, '(?i)/the$')
+     AND NOT regexp_matches(canon, '(?i)spam-farm') GROUP BY canon)
+SELECT url, sha256(text) AS content_hash, text <> '' AND row_number() OVER (PARTITION BY sha256(text) ORDER BY url) > 1 AS is_duplicate FROM f"""
+)
 def crawl_pages(spark, sf_dir):
     """A crawl level over the page table: decisions of every page from gate to duplicate check."""
     from ..operators.state import content_hash, mark_duplicates
