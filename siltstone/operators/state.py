@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranks import last_by
 
 STATE_COLUMNS = [
@@ -33,6 +34,8 @@ def mark_duplicates(docs: DataFrame, order: Sequence[str], known: DataFrame | No
     back, one row per hash, so adaptive execution can broadcast them or split a hot hash.
     """
     order = [c for c in order if c != "url"] + ["url"]
+    # Written once: both branches below would otherwise read and hash every text again.
+    docs = materialise(docs, "hashes")
     has_text = F.col("content_hash") != content_hash(F.lit(""))
     repeated = (
         docs.filter(has_text)

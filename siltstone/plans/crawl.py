@@ -152,7 +152,7 @@ class Crawl:
         fresh = slim.filter(~F.col("stored_hash").eqNullSafe(F.col("content_hash")))
         known = _union([state.select("url", "content_hash"), *[u.filter("content_hash IS NOT NULL").select("url", "content_hash") for u in earlier]])
         marked = S.mark_duplicates(fresh.drop("stored_hash"), ["url"], known if c.incremental or earlier else None)
-        verdict = materialise(marked.select(F.col("url").alias("requested_url"), "is_duplicate"), "verdicts")
+        verdict = marked.select(F.col("url").alias("requested_url"), "is_duplicate")
         judged = pages.join(verdict, "requested_url", "left").withColumn(
             "decision",
             F.when(F.col("skip"), "noindex").when(F.col("is_duplicate").isNull(), "unchanged_hash")

@@ -241,5 +241,4 @@ def crawl_pages(spark, sf_dir):
     stored = pages.withColumn("url", U.canonical_url("url")).groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
     hit = spread(front.join(stored, "url")).withColumn("p", H.parsed_page("html"))
     text = H.page_columns(F.col("p"), F.col("url"))["text"]
-    slim = materialise(hit.select("url", content_hash(text).alias("content_hash")), "hashes")
-    return mark_duplicates(slim, ["url"])
+    return mark_duplicates(hit.select("url", content_hash(text).alias("content_hash")), ["url"])
