@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import table
-from . import simhash_dedup
+from . import byte_bpe, packing, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,24 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups by 3-word SimHash within 3 bits."""
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), ranks).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4,096 tokens."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary, capacity=4096, end_id=1).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated 35-word passages are gone."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
