@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +183,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_rows(texts(docs, id_col, text_col), run, schema)
 
 
+def predicted(model: Model):
+    """A column function of a text: a struct of ``lang_pred`` and ``score`` as in `identify`."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for batch in _batches((None, text) for text in texts):
+            scored = [model.word_scores(text or "") for _, text in batch]
+            rows += [_verdict(model, letters, path)[:2] for (_, letters), path in zip(scored, model.paths([s for s, _ in scored]))]
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+
+    return predict
+
+
 def _verdict(model: Model, letters: np.ndarray, path: np.ndarray) -> tuple[str, float, list[dict]]:
     if not len(path) or not model.languages:
         return UNKNOWN, 0.0, []

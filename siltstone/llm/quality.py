@@ -11,6 +11,7 @@ statistics, whose result has one row per statistic and threshold. The finished l
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,18 +69,21 @@ def repeated_words(words: Column, width: int = REPEAT_WORDS) -> Column:
     return F.when(F.size(words) < width, F.lit(0)).otherwise(found).cast("long")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """``id``, the base counts and the ratios rules may use, per row; a null text counts as an empty one.
 
-    A narrow step over whole texts; ratios of texts without words are 0.
+    A narrow step over whole texts; ratios of texts without words are 0. The ``carry`` columns come along in
+    a struct ``doc`` (null if there are none), where their names cannot clash.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    doc = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), doc.alias("doc"))
     rows = rows.withColumn("words", split_words(F.col("text")))
     solid = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
     rows = rows.withColumn("lines", solid)
     text, words, lines = F.col("text"), F.col("words"), F.col("lines")
     counts = rows.select(
         "id",
+        "doc",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         count_chars(text, SYMBOLS).alias("n_symbols"),
@@ -93,7 +97,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     share = lambda part, whole: F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
     return counts.select(
-        "id", *BASE,
+        "id", "doc", *BASE,
         share("word_chars", "n_words").alias("mean_word"), share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("n_distinct", "n_words").alias("distinct_share"), share("n_capitals", "word_chars").alias("capital_share"),
@@ -247,6 +251,6 @@ def filter_quality(
 
     Rows are judged one by one: repeated rows and null ids keep theirs, an empty table gives an empty result.
     """
-    stats = materialise(statistics(docs, id_col, text_col), "statistics")
+    stats = materialise(statistics(docs, id_col, text_col).drop("doc"), "statistics")
     rules = learn(stats, labels, label_id, label_col, **limits)
     return judge(stats, rules).select("id", *BASE, "base_failed", "rule", "kept")
