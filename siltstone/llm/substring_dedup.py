@@ -11,9 +11,10 @@ words, and loses none. Equal word sequences are handled once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ def sequence_key(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _summaries(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: number of words, a key of the word sequence, and its representatives."""
+def _summaries(source: DataFrame, window: int) -> DataFrame:
+    """Per row: the text's hash, the number of words, a key of the word sequence, its representatives."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         for key, text in rows:
@@ -56,8 +57,8 @@ def _summaries(docs: DataFrame, window: int) -> DataFrame:
             at = np.unique(representatives(grams, window - GRAM + 1))
             yield key, len(words), sequence_key(words), grams[at].view(np.int64).tolist(), at.tolist()
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, sequence binary, grams array<long>, starts array<int>"
-    return map_rows(docs, run, schema)
+    schema = "text_key long, n_words long, sequence binary, grams array<long>, starts array<int>"
+    return map_rows(source.select("text_key", "text"), run, schema)
 
 
 def sketch(rows: DataFrame, cell: Column) -> DataFrame:
@@ -70,7 +71,7 @@ def sketch(rows: DataFrame, cell: Column) -> DataFrame:
 
 
 def estimated_repeats(rows: DataFrame) -> DataFrame:
-    """Rows ``(sequence, gram, start)`` whose smallest count over two sketch rows exceeds one.
+    """Rows ``(number, gram, start)`` whose smallest count over two sketch rows exceeds one.
 
     The second sketch counts only what passed the first: all occurrences of a repeated gram pass
     together, so its counts are never too low either.
@@ -82,87 +83,95 @@ def estimated_repeats(rows: DataFrame) -> DataFrame:
 
 
 def _window_keys(docs: DataFrame, window: int) -> DataFrame:
-    """Exact keys of the windows that a candidate representative stands for."""
+    """Exact keys of the windows that a candidate representative stands for; copies give theirs once a task."""
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for text, sequence, starts in rows:
+        done: set[int] = set()
+        for text, sequence, number, starts in rows:
             data = (text or "").encode("utf-8", "surrogatepass")
-            if sequence_key(data.split()) != sequence:
+            if number in done or sequence_key(data.split()) != sequence:
                 continue
+            done.add(number)
             hashes = word_hashes(data)
             stands = representatives(rolling(hashes, GRAM, _GRAM_BASE), window - GRAM + 1)
             chosen = np.flatnonzero(np.isin(stands, np.array(starts)))
             first = rolling(hashes, window, _FIRST_BASE)[chosen].view(np.int64).tolist()
             second = rolling(hashes, window, _SECOND_BASE)[chosen].view(np.int64).tolist()
-            yield from zip(first, second, [sequence] * len(first), chosen.tolist())
+            yield from zip(first, second, [number] * len(first), chosen.tolist())
 
-    return map_rows(docs, run, "first long, second long, sequence binary, at int")
+    return map_rows(docs, run, "first long, second long, number long, at int")
 
 
-def _cut(words: list[bytes], starts: Iterable[int], window: int) -> tuple[int, str]:
+def passages(source: DataFrame, window: int) -> DataFrame:
+    """``(text_key, n_words, sequence, whole, starts)``, one row per distinct text of ``source``.
+
+    ``starts`` are the repeated windows of the text (null for none); ``whole`` says that the word
+    sequence occurs more than once, so that all its windows are repeated.
+    """
+    rows = materialise(_summaries(source, window), "summaries")
+    one = F.first(F.struct("text_key", "grams", "starts")).alias("one")
+    sequences = rows.groupBy("sequence").agg(F.count(F.lit(1)).alias("copies"), one)
+    sequences = materialise(sequences.select("sequence", "copies", "one.*", F.monotonically_increasing_id().alias("number")), "sequences")
+    flat = sequences.select("number", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("starts").alias("start"))))
+    likely = estimated_repeats(flat).groupBy("number").agg(F.collect_set("start").alias("starts"))
+    likely = likely.join(sequences.select("number", "text_key", "sequence"), "number")
+    again = source.select("text_key", "text").join(likely, "text_key").select("text", "sequence", "number", "starts")
+    keys = materialise(_window_keys(again, window), "windows")
+    place = F.xxhash64("number", "at")
+    shared = keys.groupBy("first", "second").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    shared = materialise(shared.filter("low <> high").select("first", "second"), "shared-windows")
+    repeated = keys.join(shared, ["first", "second"], "left_semi").groupBy("number").agg(F.collect_set("at").alias("starts"))
+    found = sequences.select("sequence", "copies", "number").join(repeated, "number", "left")
+    whole = ((F.col("copies") > 1) & (F.col("n_words") >= window)).alias("whole")
+    distinct = rows.select("text_key", "n_words", "sequence").distinct()
+    return distinct.join(found, "sequence").select("text_key", "n_words", "sequence", whole, "starts")
+
+
+def cut(words: list[bytes], starts: Iterable[int], window: int) -> tuple[int, bytes]:
+    """How many words the windows at ``starts`` cover, and the other words joined by one space."""
     covered = np.zeros(len(words) + 1, np.int64)
     at = np.array(sorted(starts), dtype=np.int64)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + window, -1)
     gone = np.cumsum(covered)[:-1] > 0
-    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-    return int(gone.sum()), kept.decode("utf-8", "surrogatepass")
+    return int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
 
 
-def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct word sequences with what is left of them: ``sequences`` of `remove_repeats`.
+def _cut_column(window: int):
+    @F.pandas_udf("n_removed long, kept string")
+    def cut_texts(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        rows = [
+            (0, None) if text is None or at is None else cut(text.encode("utf-8", "surrogatepass").split(), at, window)
+            for text, at in zip(texts, starts)
+        ]
+        return pd.DataFrame([(n, None if k is None else k.decode("utf-8", "surrogatepass")) for n, k in rows], columns=["n_removed", "kept"])
 
-    Returns ``(id, n_words, sequence, copies, starts)`` per row of ``docs``: ``copies`` counts rows
-    with the same words, ``starts`` are the repeated windows of a sequence that occurs once (null for
-    none). Windows are judged on the input, not on what earlier removals leave.
-    """
-    source = texts(docs, id_col, text_col)
-    rows = materialise(_summaries(source, window), "summaries")
-    sequences = rows.groupBy("sequence").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
-    sequences = materialise(sequences, "sequences")
-    # one summary per sequence; where rows repeat in full, the sketch may count one twice, never too low
-    first = sequences.select(F.col("id").alias("first_id"), F.col("sequence").alias("own"))
-    owned = (F.col("sequence") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id"))
-    owners = rows.filter(F.size("grams") > 0).join(first, owned, "left_semi")
-    flat = owners.select("id", "sequence", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("starts").alias("start"))))
-    likely = estimated_repeats(flat).groupBy("id", "sequence").agg(F.collect_set("start").alias("starts"))
-    again = source.join(likely, source.id.eqNullSafe(likely.id)).select("text", "sequence", "starts")
-    keys = materialise(_window_keys(again, window), "windows")
-    place = F.struct("sequence", "at")
-    shared = keys.groupBy("first", "second").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    shared = shared.filter("low <> high").select("first", "second")
-    repeated = keys.join(shared, ["first", "second"], "left_semi").groupBy("sequence").agg(F.collect_set("at").alias("starts"))
-    found = sequences.select("sequence", "copies").join(repeated, "sequence", "left")
-    return rows.select("id", "n_words", "sequence").join(found, "sequence")
+    return cut_texts
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, n_removed, kept, kept_sha256)`` per row of ``docs``.
+def remove_repeats(
+    docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``(id, n_words, n_removed, kept, kept_sha256, doc)`` per row of ``docs``.
 
     A word goes if any window over it has a word sequence that also starts elsewhere, in the same text
-    or another. ``kept`` is null where nothing goes (the text stays as it is); else the kept words joined
-    by one space. Texts of fewer than ``window`` words, blank and null texts lose nothing; repeated rows
-    are copies of each other; rows with a null id are judged like any other.
+    or another; windows are judged on the input, not on what earlier removals leave. ``kept`` is null
+    where nothing goes (the text stays as it is), else the kept words joined by one space. Texts of fewer
+    than ``window`` words, blank and null texts lose nothing; repeated rows are copies of each other; ids
+    are only carried, so null and repeated ids do no harm. ``doc`` is a struct of the ``carry`` columns.
     """
-    found = materialise(repeated_passages(docs, window, id_col, text_col), "passages")
-    changed = found.filter("copies = 1 and starts is not null").select("id", "sequence", "starts")
-
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for text, sequence, starts in rows:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            if sequence_key(words) == sequence:
-                yield sequence, *_cut(words, starts, window)
-
-    source = texts(docs, id_col, text_col)
-    source = source.join(changed, source.id.eqNullSafe(changed.id)).select("text", "sequence", "starts")
-    cut = map_rows(source, run, "sequence binary, n_removed long, kept string")
-    cut = cut.withColumn("kept_sha256", F.sha2("kept", 256))
-    whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
-    rows = found.drop("starts").join(cut, "sequence", "left")
+    doc = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    source = texts(docs, id_col, text_col, doc.alias("doc")).withColumn("text_key", F.xxhash64("text"))
+    found = materialise(passages(source, window), "passages")
+    rows = source.join(found, "text_key")
+    part = F.when(~F.col("whole") & F.col("starts").isNotNull(), F.col("text"))
+    rows = rows.withColumn("cut", _cut_column(window)(part, F.col("starts")))
+    kept = F.when(F.col("whole"), F.lit("")).otherwise(F.col("cut.kept"))
     return rows.select(
         "id",
         "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sequence")))).alias("kept_sha256"),
+        F.when(F.col("whole"), F.col("n_words")).otherwise(F.col("cut.n_removed")).alias("n_removed"),
+        kept.alias("kept"),
+        F.coalesce(F.sha2(kept, 256), F.lower(F.hex("sequence"))).alias("kept_sha256"),
+        "doc",
     )
