@@ -26,7 +26,7 @@ from .common import id_type, map_rows, texts
 
 CAPACITY = 4096
 END_ID = 1
-KNOWN_CHUNKS = 1 << 19
+KNOWN_CHUNKS = 1 << 18
 PLAN_SCHEMA = "length int, first_rank long, last_rank long, per_sequence long, first_sequence long, first_offset long"
 _PLAIN = re.compile("[ \t\n\r\x0b\x0c]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85   -     　]")
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return map_rows(texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("twin")), run, schema)
 
 
-def _batches(rows: Iterable[tuple], size: int = 1 << 22) -> Iterator[list[tuple]]:
+def _batches(rows: Iterable[tuple], size: int = 1 << 21) -> Iterator[list[tuple]]:
     batch, held = [], 0
     for row in rows:
         batch.append(row)

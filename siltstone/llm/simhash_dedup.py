@@ -5,10 +5,15 @@ Manhattan distance of two embeddings never exceeds the Hamming distance of the f
 range join under it loses no link. The grid of that join is made of blocks of segments: if two
 embeddings differ by at most r in all, one of r//2+1 blocks differs by at most 1. Each fingerprint
 stands in its own cell per block, and looks for partners there and in the cells one step up.
+
+A few bits of 64 mean nearly equal texts. Documents that are merely similar differ in so many bits that no
+lower bound prunes; `similar_documents` finds them with wide fingerprints, of which many samples of
+bits are tried as cells, and compares whole fingerprints afterwards.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import id_type, map_rows, texts
 from .components import connected_components
+from .words import mix, rolling, word_hashes
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -125,3 +131,89 @@ def near_duplicates(
     linked = materialise(grouped.join(named, "root").select(F.col("node").alias("fingerprint"), "lowest"), "components")
     named = nodes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "first").alias("component_id"))
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+
+
+WIDE_BITS = 1024
+_SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
+
+
+def wide_simhash(text: str | None, shingle: int, bits: int = WIDE_BITS) -> np.ndarray:
+    """``bits`` majority votes of the distinct shingles' hashes, packed in bytes; zero without words."""
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not len(words):
+        return np.zeros(bits // 8, np.uint8)
+    hashes = np.unique(rolling(words, min(shingle, len(words)), _SHINGLE_BASE))
+    counts = np.zeros((bits // 8, 256), np.int64)
+    with np.errstate(over="ignore"):
+        for word in range(bits // 64):
+            drawn = mix(hashes + np.uint64((word + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
+            for byte in range(8):
+                counts[8 * word + byte] = np.bincount(drawn[:, byte], minlength=256)
+    return np.packbits(2 * (counts @ _BITS) > len(hashes))
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two shingle sets with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def cell_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Bits per cell and number of cells.
+
+    Cells have some bits more than the logarithm of the number of rows, so unrelated texts seldom meet in
+    one; there are as many as it takes for two texts at the threshold to meet with probability ``recall``.
+    """
+    width = max(16, math.ceil(math.log2(max(rows, 2))) + 6)
+    meet = (1 - differing_share(similarity)) ** width
+    return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def _cells(nodes: DataFrame, width: int, number: int) -> DataFrame:
+    """``(cell, node)``: a hash of every sample of ``width`` bits of every node's fingerprint."""
+    chosen = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE_BITS), (number, 1)), axis=1)[:, :width]
+    weights = (1 << np.arange(width, dtype=np.uint64))[:, None]
+    salt = np.arange(number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for node, words in rows:
+            bits = np.unpackbits(np.array(words, dtype="<i8").view(np.uint8))
+            keys = mix((bits[chosen].astype(np.uint64) @ weights)[:, 0] + salt)
+            yield node, keys.view(np.int64).tolist()
+
+    found = map_rows(nodes.select("node", "fingerprint"), run, "node long, cells array<long>")
+    return found.select(F.explode("cells").alias("cell"), "node")
+
+
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id, component_id)`` per row of ``docs``: groups linked by similar sets of word shingles.
+
+    Similarity (Jaccard) is estimated from the differing bits of 1,024-bit fingerprints. Equal
+    fingerprints are one node. Nodes meet in cells, and each is compared with the first node of every
+    cell it shares, so a cell with many members costs one comparison each and never all pairs; the
+    cells are many, and links are transitive. Two texts at the threshold meet with probability
+    ``recall``, closer ones more often. Blank and null texts form one group; null ids name a group
+    only if there is no other.
+    """
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for key, text in rows:
+            yield key, wide_simhash(text, shingle).view("<i8").tolist()
+
+    prints = materialise(map_rows(texts(docs, id_col, text_col), run, f"id {id_type(docs, id_col)}, fingerprint array<long>"), "fingerprints")
+    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    cells = materialise(_cells(nodes, *cell_plan(nodes.count(), similarity, recall)), "cells")
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1")
+    pairs = cells.join(shared.select("cell", "low"), "cell").filter("node <> low").select("node", "low").distinct()
+    a, b = nodes.alias("a"), nodes.alias("b")
+    both = pairs.join(a, F.col("a.node") == pairs.node).join(b, F.col("b.node") == F.col("low"))
+    differing = F.aggregate(F.zip_with("a.fingerprint", "b.fingerprint", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    most = int(WIDE_BITS * differing_share(similarity))
+    links_ = both.filter(differing <= most).select(F.col("low").alias("a"), pairs.node.alias("b"))
+    grouped = connected_components(links_).join(nodes.select("node", "first"), "node")
+    named = grouped.groupBy("root").agg(F.min("first").alias("lowest"))
+    linked = grouped.join(named, "root").select("node", "lowest")
+    named = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("lowest", "first").alias("component_id"))
+    return prints.join(named, "fingerprint").select("id", "component_id")
