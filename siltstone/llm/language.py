@@ -96,6 +96,8 @@ class Model:
 
     def paths(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best sequence of languages for each text, all texts advancing together."""
+        if not self.languages:
+            return [np.empty(0, np.int16)] * len(scores)
         order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
         lengths = np.array([len(scores[i]) for i in order])
         flat = np.concatenate([scores[i] for i in order]) if order else np.empty((0, len(self.languages)))
