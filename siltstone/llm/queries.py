@@ -107,3 +107,75 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         show("fingerprint"), show("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+SQL["op8_substring_dedup"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT r, doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
+starts AS (
+    SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h
+    FROM lists, LATERAL (SELECT unnest(generate_series(1, len(words) - 34)) AS i)
+),
+twice AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS k FROM starts SEMI JOIN twice USING (h)),
+singles AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM lists),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM singles ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM lists LEFT JOIN kept USING (r)
+"""
+
+
+def _url_sql(rounds: int) -> str:
+    """The URL query in SQL: rules by string comparison, and one pair of steps per round of both walks."""
+    entries = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""
+r{i + 1} AS MATERIALIZED (
+    SELECT h.host, 0.15 * trusted + 0.85 * coalesce(f.t, 0) AS t, 0.15 + 0.85 * coalesce(f.tb, 0) AS tb,
+           0.15 * blocked + 0.85 * coalesce(b.d, 0) AS d, 0.15 + 0.85 * coalesce(b.db, 0) AS db
+    FROM seeds h
+    LEFT JOIN (SELECT target AS host, sum(a * t) AS t, sum(a * tb) AS tb FROM shares JOIN r{i} ON source = r{i}.host GROUP BY target) f USING (host)
+    LEFT JOIN (SELECT source AS host, sum(z * d) AS d, sum(z * db) AS db FROM shares JOIN r{i} ON target = r{i}.host GROUP BY source) b USING (host)
+)""")
+    letters = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = letters.format("coalesce(regexp_extract({}, '://([^/?#]*)', 1), '')")
+    return f"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {entries}),
+whole AS (
+    SELECT row_number() OVER () AS r, page_id, {host.format("url")} AS host,
+           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, html
+    FROM pages
+),
+best AS (
+    SELECT r, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS ruled
+    FROM whole JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY r
+),
+ruled AS (SELECT page_id, host, path, rule, ruled FROM whole LEFT JOIN best USING (r)),
+links AS (
+    SELECT host AS source, unnest(regexp_extract_all(coalesce(html, ''), '{url_filter.LINK.replace("'", "''")}', 1)) AS link FROM whole
+),
+edges AS (
+    SELECT source, target, count(*) AS w
+    FROM (SELECT source, {host.format("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS target FROM links)
+    WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL
+),
+shares AS (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS a, w / sum(w) OVER (PARTITION BY target) AS z FROM edges),
+own AS (
+    SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trusted, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
+    FROM ruled GROUP BY host
+),
+seeds AS (
+    SELECT host, coalesce(trusted, 0) AS trusted, coalesce(blocked, 0) AS blocked
+    FROM (SELECT source AS host FROM edges UNION SELECT target FROM edges UNION SELECT host FROM own) LEFT JOIN own USING (host)
+),
+r0 AS (SELECT host, 0.15 * trusted AS t, 0.15 AS tb, 0.15 * blocked AS d, 0.15 AS db FROM seeds),{",".join(steps)}
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN d / db >= {url_filter.BLOCK_SHARE} AND d / db > t / tb THEN 'block' ELSE 'allow' END) AS verdict,
+       round(t / tb, 9) AS trust, round(d / db, 9) AS distrust
+FROM ruled JOIN r{rounds} USING (host)
+"""
+
+
+SQL["op3_url_filters"] = _url_sql(url_filter.ROUNDS)
