@@ -8,6 +8,7 @@ builder below is the only per-row Python, and URL and text clean-up stay in Spar
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -26,11 +27,11 @@ BOILERPLATE_HINT = (
     "subscribe|newsletter|social|share|related-post|comment|advert|promo|skip-link)"
 )
 MAIN_MIN_CHARS = 200
-MAX_HEADINGS = 50
 BLOCK_TAGS = {"p", "li", "pre", "blockquote", "td", "th", "figcaption", "dd", "dt"}
 
 _PAGE_FIELDS = PARSED_PAGE.names
 _HINT = re.compile(BOILERPLATE_HINT)
+_NOT_TEXT = {"script", "style", "template"}
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # Start tags that end an open element of the given names (HTML's implied end tags).
 _BLOCK_STARTS = set(
@@ -78,12 +79,31 @@ class _Node:
                 stack.pop()
         return out
 
+    def shown_length(self) -> int:
+        """Length of the text without script, style and template contents."""
+        parts, stack = [], [iter(self.children)]
+        while stack:
+            for child in stack[-1]:
+                if isinstance(child, str):
+                    if child.strip():
+                        parts.append(len(child.strip()))
+                elif child.name not in _NOT_TEXT:
+                    stack.append(iter(child.children))
+                    break
+            else:
+                stack.pop()
+        return sum(parts) + max(0, len(parts) - 1)
+
     def text(self, sep: str = " ") -> str:
         return sep.join(self.strings())
 
-    def drop(self) -> None:
-        if self.parent is not None and self in self.parent.children:
-            self.parent.children.remove(self)
+    def prune(self, unwanted: Callable[[_Node], bool]) -> None:
+        """Remove unwanted descendants, each with all below it."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c)]
+            stack.extend(c for c in node.children if isinstance(c, _Node))
 
 
 class _TreeBuilder(HTMLParser):
@@ -111,6 +131,10 @@ class _TreeBuilder(HTMLParser):
         if node is not None and node.parent is not None:
             self.here = node.parent
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...]>`` outside of XML is a comment, whatever its keyword."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         kept = self.here.children
         if kept and isinstance(kept[-1], str):
@@ -128,12 +152,20 @@ def _in_block(node: _Node) -> bool:
     return False
 
 
-def _is_main(n: _Node) -> bool:
-    classes = n.attrs.get("class", "").split()
-    return (
-        n.name in ("main", "article") or n.attrs.get("role") == "main" or n.attrs.get("id") in ("main", "content")
-        or "entry-content" in classes or "post-content" in classes
-    )
+def _has_class(name: str) -> Callable[[_Node], bool]:
+    return lambda n: name in n.attrs.get("class", "").split()
+
+
+# Places of main content; of equally long ones the earlier entry wins.
+MAIN_SELECTORS: list[Callable[[_Node], bool]] = [
+    lambda n: n.name == "main",
+    lambda n: n.name == "article",
+    lambda n: n.attrs.get("role") == "main",
+    lambda n: n.attrs.get("id") == "main",
+    lambda n: n.attrs.get("id") == "content",
+    _has_class("entry-content"),
+    _has_class("post-content"),
+]
 
 
 def _is_boilerplate(n: _Node) -> bool:
@@ -178,13 +210,12 @@ def parse_page(html: str | None) -> dict:
             crumbs.append(a.text())
 
     best, best_len = None, 0
-    for n in every:
-        if _is_main(n) and len(n.text()) > best_len:
-            best, best_len = n, len(n.text())
+    for wanted in MAIN_SELECTORS:
+        for n in every:
+            if wanted(n) and n.shown_length() > best_len:
+                best, best_len = n, n.shown_length()
     main = best if best is not None and best_len >= MAIN_MIN_CHARS else (body or root)
-    for n in list(main.nodes()):
-        if _is_boilerplate(n):
-            n.drop()
+    main.prune(_is_boilerplate)
 
     sections, heading, level, blocks = [], "Overview", 0, []
     for n in main.nodes():
@@ -206,7 +237,7 @@ def parse_page(html: str | None) -> dict:
         "canonical_href": canonical.attrs.get("href", "") if canonical else None,
         "breadcrumbs": crumbs,
         "hrefs": [a.attrs["href"] for a in anchors if "href" in a.attrs],
-        "headings": [n.text() for n in main.nodes() if n.name in ("h1", "h2", "h3")][:MAX_HEADINGS],
+        "headings": [n.text() for n in main.nodes() if n.name in ("h1", "h2", "h3")],
         "raw_sections": [{"heading": h, "level": lv, "text": t} for h, lv, t in sections],
         "raw_text": main.text("\n"),
     }
@@ -214,7 +245,15 @@ def parse_page(html: str | None) -> dict:
 
 @F.pandas_udf(PARSED_PAGE)
 def _parse_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(h) for h in html], columns=_PAGE_FIELDS)
+    return pd.DataFrame([_parsed_or_error(h) for h in html], columns=_PAGE_FIELDS)
+
+
+def _parsed_or_error(html: str | None) -> dict:
+    """The fields of a page, or empty ones and ``error`` if it cannot be read."""
+    try:
+        return {**parse_page(html), "error": None}
+    except (AssertionError, ValueError, IndexError, KeyError, RecursionError, AttributeError) as failure:
+        return {**parse_page(""), "error": type(failure).__name__}
 
 
 def parsed_page(html: Column | str) -> Column:
@@ -244,6 +283,7 @@ def page_columns(parsed: Column, url: Column, asset_extensions: list[str] = U.AS
         "assets": F.filter(targets, lambda t: U.is_asset_link(t, asset_extensions)),
         "headings": parsed["headings"],
         "sections": F.filter(cleaned, lambda s: s["text"] != ""),
+        "parse_error": parsed["error"],
         "text": body,
         "word_count": T.word_count(body),
     }

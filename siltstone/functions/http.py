@@ -13,9 +13,6 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType
 # Status codes that redirect, and those worth another attempt.
 REDIRECT_STATUS = [301, 302, 303, 307, 308]
 RETRY_STATUS = [429, 500, 502, 503, 504]
-# Fixed value: a charset declaration only counts in this many leading bytes.
-SNIFF_BYTES = 4096
-
 _CHARSET = r"""(?i)charset=["']?([\w\-]+)"""
 
 
@@ -29,10 +26,10 @@ def media_type(content_type: Column | str) -> Column:
 
 
 def charset_of(content_type: Column | str, body: Column | str) -> Column:
-    """Charset from the header, else from the document head, else UTF-8 if valid, else cp1252."""
+    """Charset from the header, else from the document's head element, else UTF-8 if valid, else cp1252."""
     body = _col(body)
     header = F.regexp_extract(F.coalesce(_col(content_type), F.lit("")), _CHARSET, 1)
-    head = F.decode(F.substring(body, 1, SNIFF_BYTES), "ISO-8859-1")
+    head = F.get(F.split(F.decode(body, "ISO-8859-1"), r"(?i)</head\b|<body\b", 2), 0)
     declared = F.regexp_extract(head, _CHARSET, 1)
     return (
         F.when(header != "", header)
@@ -44,14 +41,14 @@ def charset_of(content_type: Column | str, body: Column | str) -> Column:
 
 @F.pandas_udf(StringType())
 def decode_body(body: pd.Series, charset: pd.Series) -> pd.Series:
-    """Decode bytes with replacement characters; unknown charsets are read as UTF-8."""
+    """Decode bytes with replacement characters; charsets that cannot be used are read as UTF-8."""
 
     def one(raw: bytes | None, name: str | None) -> str | None:
         if raw is None:
             return None
         try:
             return bytes(raw).decode(name or "utf-8", errors="replace")
-        except LookupError:
+        except (LookupError, UnicodeError):
             return bytes(raw).decode("utf-8", errors="replace")
 
     return pd.Series([one(b, c) for b, c in zip(body, charset)])
@@ -77,7 +74,7 @@ def _parsed(text: str | None, status: int | None, cache: dict) -> RobotFileParse
         rules: RobotFileParser | None = RobotFileParser()
         if status in (401, 403):
             rules.disallow_all = True
-        elif status is None or pd.isna(status) or status >= 400 or text is None:
+        elif status is None or pd.isna(status) or status >= 300 or text is None:
             rules = None
         else:
             rules.parse(text.splitlines())
@@ -85,10 +82,18 @@ def _parsed(text: str | None, status: int | None, cache: dict) -> RobotFileParse
     return cache[key]
 
 
+def _can_fetch(rules: RobotFileParser, user_agent: str, url: str) -> bool:
+    """A URL that the rules' parser cannot read is not fetched."""
+    try:
+        return rules.can_fetch(user_agent, url)
+    except ValueError:
+        return False
+
+
 def robots_allows(user_agent: str):
     """UDF (robots_txt, status, url) -> boolean under the standard library's rule order.
 
-    Failure to read robots.txt and any 4xx/5xx but 401/403 allow everything.
+    Failure to read robots.txt, a redirect that leads nowhere and any 4xx/5xx but 401/403 allow everything.
     """
 
     @F.pandas_udf(BooleanType())
@@ -97,7 +102,7 @@ def robots_allows(user_agent: str):
         out = []
         for text, code, target in zip(robots_txt, status, url):
             rules = _parsed(text, code, cache)
-            out.append(True if rules is None else rules.can_fetch(user_agent, target))
+            out.append(True if rules is None else _can_fetch(rules, user_agent, target))
         return pd.Series(out, dtype=bool)
 
     return allowed

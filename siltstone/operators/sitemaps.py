@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import zlib
+from itertools import count
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,7 +24,7 @@ def _entries(url: str | None, body: bytes | None) -> list[dict]:
     if raw[:2] == b"\x1f\x8b" or (url or "").endswith(".gz"):
         try:
             raw = gzip.decompress(raw)
-        except (OSError, EOFError):
+        except (OSError, EOFError, zlib.error):
             pass
     try:
         root = ElementTree.fromstring(raw)
@@ -54,17 +56,18 @@ def parse_sitemaps(files: DataFrame) -> DataFrame:
     ).filter(F.col("url").isNotNull())
 
 
-def discover(files: DataFrame, roots: DataFrame, max_sitemaps: int | None = None, max_levels: int = 50) -> DataFrame:
+def discover(files: DataFrame, roots: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
     """All page entries reachable from the root sitemaps: ``url, lastmod``.
 
     Each sitemap is read once; the first entry of a URL wins (by level, sitemap, position).
-    Level-synchronous: one join of the new sitemaps with the parsed entries per level.
+    Level-synchronous: one join of the new sitemaps with the parsed entries per level, until a level
+    has nothing new.
     ``max_sitemaps`` limits how many sitemaps are opened, nearest levels first.
     """
     parsed = materialise(parse_sitemaps(files), "sitemaps")
     level = materialise(roots.select(F.col("url").alias("sitemap_url")).distinct().withColumn("level", F.lit(0)), "roots")
     opened, budget = level, max_sitemaps
-    for depth in range(1, max_levels + 1):
+    for depth in count(1):
         children = (
             parsed.filter(F.col("kind") == "sitemap")
             .join(level.select("sitemap_url"), "sitemap_url")

@@ -53,5 +53,5 @@ GOLDEN_CASE = schema("query_id:bigint query:string expected_urls:strings expect_
 PARSED_PAGE = schema(
     "title:string description:string keywords:string published_at:string modified_at:string robots:string "
     "language:string canonical_href:string breadcrumbs:strings hrefs:strings headings:strings raw_sections:sections "
-    "raw_text:string"
+    "raw_text:string error:string"
 )

@@ -34,8 +34,8 @@ def build_session(app: str = "siltstone", master: str | None = None, **conf: obj
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (a local test run) gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting gets a
+    temporary folder of its own; elsewhere executors would not see each other's files, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -43,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder; {master} has no common local one")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 from ..schemas import CHUNK, DOCUMENT, GOLDEN_CASE
 
@@ -20,13 +20,33 @@ def _pattern(path: str, prefix: str) -> str:
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """All lines, one column per document key, torn lines in ``_corrupt_record``.
+    """All non-blank lines, one column per document key, lines that are no JSON object in ``_corrupt_record``.
 
-    Records end at a newline only, so other Unicode line separators stay data.
+    Records end at a newline only, so other Unicode line separators stay data. Values of another JSON
+    type than expected never cost a record: every field is read as text first and then converted, 3.0
+    and "3" to the number 3, a single value to a list of one; what cannot be converted is null.
     """
-    schema = StructType([*DOCUMENT.fields, StructField(_TORN, StringType())])
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _TORN)
-    return reader.option("lineSep", "\n").json(_pattern(path, "documents_"))
+    lines = spark.read.option("lineSep", "\n").text(_pattern(path, "documents_")).filter(F.trim("value") != "")
+    raw = StructType([*[StructField(f.name, StringType()) for f in DOCUMENT.fields], StructField(_TORN, StringType())])
+    parsed = lines.select(F.from_json("value", raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _TORN}).alias("r"))
+    columns = [_converted(F.col(f"r.{f.name}"), f.dataType).alias(f.name) for f in DOCUMENT.fields]
+    return parsed.select(*columns, F.col(f"r.{_TORN}").alias(_TORN))
+
+
+def _converted(value: Column, kind: DataType) -> Column:
+    """A JSON value given as text, in the wanted type; null where that is impossible."""
+    if isinstance(kind, IntegerType):
+        return value.try_cast("double").try_cast("int")
+    if isinstance(kind, BooleanType):
+        return value.try_cast("boolean")
+    if not isinstance(kind, ArrayType):
+        return value
+    many = F.startswith(F.trim(value), F.lit("["))
+    if isinstance(kind.elementType, StringType):
+        return F.when(many, F.from_json(value, ArrayType(StringType()))).when(value.isNotNull(), F.array(value))
+    fields = kind.elementType.fields
+    items = F.from_json(value, ArrayType(StructType([StructField(f.name, StringType()) for f in fields])))
+    return F.transform(items, lambda item: F.struct(*[_converted(item[f.name], f.dataType).alias(f.name) for f in fields]))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +56,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def torn_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row: how many non-blank lines are not JSON (a crawl may still be writing)."""
-    lines = spark.read.option("lineSep", "\n").text(_pattern(path, "documents_"))
-    torn = (F.trim("value") != "") & F.try_parse_json("value").isNull()
-    return lines.agg(F.count_if(torn).alias("torn"))
+    """One row: how many non-blank lines are not JSON objects (a crawl may still be writing)."""
+    return scan_documents(spark, path).agg(F.count_if(F.col(_TORN).isNotNull()).alias("torn"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
