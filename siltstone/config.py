@@ -18,7 +18,10 @@ def _list():
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    """What to crawl and how. Defaults follow the reference behaviour."""
+    """What to crawl and how.
+
+    Fixed values: the key names and defaults, so that existing YAML files keep their meaning.
+    """
 
     name: str = "crawl"
     seeds: list[str] = _list()
@@ -36,7 +39,10 @@ class CrawlConfig:
     max_pages: int | None = None
     max_depth: int = 5
     follow_links: bool = True
+    # Longer bodies are cut and marked; a cut asset is not indexed.
     max_content_bytes: int = 20 << 20
+    # Hops followed per request; what still redirects then is logged as redirect_limit.
+    max_redirects: int = 5
     fetch_assets: bool = True
     asset_extensions: list[str] = field(default_factory=lambda: list(ASSET_EXTENSIONS))
     save_assets: bool = True

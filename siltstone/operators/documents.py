@@ -11,6 +11,11 @@ from ..schemas import DOCUMENT_FIELDS
 from .state import content_hash, document_id
 
 
+def _header(name: str) -> Column:
+    """A response header, its name in lower case or as given."""
+    return F.coalesce(F.try_element_at("headers", F.lit(name.lower())), F.try_element_at("headers", F.lit(name)))
+
+
 def first_filled(*parts: Column) -> Column:
     """First part that is neither NULL nor '', else ''."""
     return F.coalesce(*[F.nullif(p, F.lit("")) for p in parts], F.lit(""))
@@ -34,7 +39,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
     http_status, content_type, crawled_at, depth, js_rendered``.
     """
     digest = content_hash("text")
-    modified = F.coalesce(F.try_element_at("headers", F.lit("Last-Modified")), F.lit(""))
+    modified = F.coalesce(_header("Last-Modified"), F.lit(""))
     return as_documents(
         pages.withColumn("content_hash", digest)
         .withColumn("id", document_id("content_hash"))
@@ -73,6 +78,6 @@ def asset_documents(assets: DataFrame, saved_under: str | None = None) -> DataFr
         .withColumn("title", last_segment)
         .withColumn("word_count", T.word_count("text"))
         .withColumn("local_path", path)
-        .withColumn("modified_at", F.coalesce(F.try_element_at("headers", F.lit("Last-Modified")), F.lit("")))
+        .withColumn("modified_at", F.coalesce(_header("Last-Modified"), F.lit("")))
         .withColumn("needs_extraction", F.col("text") == "")
     )

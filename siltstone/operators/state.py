@@ -104,13 +104,16 @@ def latest_per_url(docs: DataFrame, at: str = "crawled_at") -> DataFrame:
     return last_by(docs, ["url"], [at], rest).select(*docs.columns)
 
 
-# Decision label -> the run counters it adds to.
+# Decision labels (redirect_limit and the truncated ones are additions here) and the run
+# counters each adds to.
 DECISION_COUNTERS = {
     "queued": ["queued"],
     "skipped_media": ["skipped_media"],
     "skipped_scope": ["skipped_scope"],
     "skipped_robots": ["skipped_robots"],
     "redirect_not_followed": ["fetched", "skipped_redirect"],
+    "redirect_limit": ["fetched", "skipped_redirect"],
+    "truncated_asset": ["fetched", "skipped_media"],
     "unchanged_304": ["fetched", "unchanged"],
     "http_error": ["fetched", "errors"],
     "network_error": ["errors"],

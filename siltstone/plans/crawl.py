@@ -32,6 +32,11 @@ class CrawlResult:
     stats: DataFrame
 
 
+def _header(name: str) -> Column:
+    """A response header; fetchers give their names in lower case."""
+    return F.try_element_at("headers", F.lit(name.lower()))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -50,10 +55,11 @@ class Crawl:
     # ---------------------------------------------------------------- fetching
 
     def _requests(self, urls: DataFrame) -> DataFrame:
-        for name, kind in (("etag", "string"), ("last_modified", "string"), ("start_at", "double")):
+        for name, kind in (("etag", "string"), ("last_modified", "string"), ("start_at", "double"), ("delay", "double")):
             if name not in urls.columns:
-                urls = urls.withColumn(name, F.lit(None if kind == "string" else 0.0).cast(kind))
-        return urls.select("url", "etag", "last_modified", "start_at")
+                blank = {"start_at": 0.0, "delay": self.config.request_delay}.get(name)
+                urls = urls.withColumn(name, F.lit(blank).cast(kind))
+        return urls.select("url", "etag", "last_modified", "start_at", "delay")
 
     def _learn_robots(self, urls: DataFrame) -> DataFrame:
         """robots.txt per host (``host, robots_txt, robots_status``), each host fetched once."""
@@ -61,9 +67,9 @@ class Crawl:
         if self.robots is not None:
             hosts = hosts.join(self.robots.select("host"), "host", "left_anti")
         wanted = materialise(hosts.withColumn("url", F.concat("origin", F.lit("/robots.txt"))), "hosts")
-        replies = self.fetch(self._requests(wanted))
+        replies = self._respond(wanted, rules=False).drop("url").withColumnRenamed("requested_url", "url")
         fresh = wanted.select("host", "url").join(replies, "url", "left").select(
-            "host", X.decode_body("content", X.charset_of(F.try_element_at("headers", F.lit("Content-Type")), "content")).alias("robots_txt"),
+            "host", X.decode_body("content", X.charset_of(_header("Content-Type"), "content")).alias("robots_txt"),
             F.col("status").alias("robots_status"),
         )
         known = fresh if self.robots is None else self.robots.unionByName(fresh)
@@ -76,27 +82,33 @@ class Crawl:
         joined = rows.withColumn("host", U.url_host("url")).join(robots, "host", "left")
         return joined.withColumn("allowed", allowed).drop("host", "robots_txt", "robots_status")
 
-    def _respond(self, rows: DataFrame, max_redirects: int = 5) -> DataFrame:
-        """Final response of every request; redirects are followed in rounds of one hop."""
+    def _respond(self, rows: DataFrame, rules: bool = True) -> DataFrame:
+        """Final response of every request; redirects are followed in rounds of one hop.
+
+        ``rules`` holds hops to the crawl's scope and robots.txt; requests for robots.txt and sitemaps
+        themselves follow any redirect. ``redirects_left`` is false where the hops were used up.
+        """
         current = materialise(
             self.fetch(self._requests(rows)).withColumn("requested_url", F.col("url")), "responses"
         )
         done = []
-        for _ in range(max_redirects):
-            location = F.try_element_at("headers", F.lit("Location"))
-            target = F.when(is_redirect(), U.canonical_url(location, "url"))
-            moving = current.withColumn("target", target)
-            follow = F.col("target").isNotNull() & (F.col("target") != F.col("url")) & FR.in_scope("target", self.config)
-            hops = moving.filter(follow).select("requested_url", F.col("url").alias("source"), F.col("target").alias("url"))
+        target = F.when(is_redirect(), U.canonical_url(_header("Location"), "url"))
+        follow = F.col("target").isNotNull() & (F.col("target") != F.col("url"))
+        if rules:
+            follow = follow & FR.in_scope("target", self.config)
+        for _ in range(self.config.max_redirects):
+            hops = current.withColumn("target", target).filter(follow)
+            hops = hops.select("requested_url", F.col("url").alias("source"), F.col("target").alias("url"))
             if hops.isEmpty():
                 break
-            hops = materialise(self._with_robots(hops), "hops")
-            go = hops.filter("allowed")
+            go = materialise(self._with_robots(hops) if rules else hops.withColumn("allowed", F.lit(True)), "hops").filter("allowed")
             replies = self.fetch(self._requests(go.select("url").distinct()))
             moved = materialise(go.select("requested_url", "url").join(replies, "url"), "responses")
-            done.append(current.join(go.select("requested_url"), "requested_url", "left_anti"))
+            done.append(current.join(go.select("requested_url"), "requested_url", "left_anti").withColumn("redirects_left", F.lit(True)))
             current = moved
-        return _union([*done, current])
+        used_up = F.coalesce(follow, F.lit(False)) if self.config.max_redirects > 0 else F.lit(False)
+        last = current.withColumn("target", target).withColumn("redirects_left", ~used_up).drop("target")
+        return _union([*done, last])
 
     # ---------------------------------------------------------------- seeding
 
@@ -108,7 +120,8 @@ class Crawl:
         level = materialise(roots.unionByName(declared).distinct(), "sitemap-roots")
         roots, files, seen = level, [], level
         while not level.isEmpty():
-            files.append(materialise(self.fetch(self._requests(level)).filter("status < 400").select("url", "content"), "sitemap-files"))
+            found = self._respond(level, rules=False).filter("status < 300")
+            files.append(materialise(found.select(F.col("requested_url").alias("url"), "content"), "sitemap-files"))
             children = SM.parse_sitemaps(files[-1]).filter("kind = 'sitemap'").select("url").distinct()
             level = materialise(children.join(seen, "url", "left_anti"), "sitemap-level")
             seen = seen.unionByName(level)
@@ -131,18 +144,25 @@ class Crawl:
         asked = FR.request_slots(joined.filter("allowed"), delays, c.request_delay)
         replies = self._respond(asked)
         rows = asked.withColumnRenamed("url", "requested_url").join(replies, "requested_url")
-        content_type = X.media_type(F.try_element_at("headers", F.lit("Content-Type")))
+        content_type = X.media_type(_header("Content-Type"))
         rows = materialise(
             rows.withColumn("content_type", content_type).withColumn(
                 "decision", F.when(F.col("error").isNotNull() | F.col("status").isNull(), "network_error")
+                .when(is_redirect() & ~F.col("redirects_left"), "redirect_limit")
                 .otherwise(FR.route("status", "content_type", "requested_url", "is_asset", c))
-            ), "routed",
+            ).withColumn("decision", F.when((F.col("decision") == "asset") & F.col("truncated"), "truncated_asset").otherwise(F.col("decision"))),
+            "routed",
         )
         final = rows.filter(~F.col("decision").isin("html", "asset"))
         log.append(final.select(F.col("requested_url").alias("url"), "decision"))
-
-        pages = self._extract(rows.filter("decision = 'html'"))
-        noindex = F.col("noindex") | F.contains(F.lower(F.coalesce(F.try_element_at("headers", F.lit("X-Robots-Tag")), F.lit(""))), F.lit("noindex"))
+        log.append(rows.filter("truncated AND decision = 'html'").select(F.col("requested_url").alias("url"), F.lit("truncated").alias("decision")))
+
+        parsed = materialise(self._extract(rows.filter("decision = 'html'")), "extracted")
+        broken = parsed.filter("parse_error IS NOT NULL").withColumn("decision", F.lit("processing_error"))
+        log.append(broken.select(F.col("requested_url").alias("url"), "decision"))
+        final = _union([final.select("requested_url", "status", "decision"), broken.select("requested_url", "status", "decision")])
+        pages = parsed.filter("parse_error IS NULL")
+        noindex = F.col("noindex") | F.contains(F.lower(F.coalesce(_header("X-Robots-Tag"), F.lit(""))), F.lit("noindex"))
         pages = pages.withColumn("skip", noindex & F.lit(c.obey_noindex)).withColumn("content_hash", S.content_hash("text"))
         pages = materialise(pages, "pages")
         log.append(pages.filter("js_rendered").select(F.col("requested_url").alias("url"), F.lit("rendered").alias("decision")))
@@ -185,7 +205,7 @@ class Crawl:
     def _extract(self, rows: DataFrame) -> DataFrame:
         """Parse HTML; thin pages go through the renderer and are parsed again."""
         c = self.config
-        charset = F.coalesce("encoding", X.charset_of(F.try_element_at("headers", F.lit("Content-Type")), "content"))
+        charset = F.coalesce("encoding", X.charset_of(_header("Content-Type"), "content"))
         base = rows.withColumn("html", X.decode_body("content", charset)).drop("content")
 
         def parse(df: DataFrame, rendered: bool) -> DataFrame:
@@ -208,7 +228,9 @@ class Crawl:
     def _updates(self, final: DataFrame, judged: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
         """State changes, each naming the columns it sets."""
         error = F.when(F.col("decision") == "http_error", F.concat(F.lit("http_"), F.col("status").cast("string"))).when(
-            F.col("decision").isin("redirect_not_followed", "network_error", "unsupported_media", "noindex"), F.col("decision")
+            F.col("decision").isin("redirect_limit", "truncated_asset"), F.when(F.col("decision") == "redirect_limit", "redirect_not_followed").otherwise("unsupported_media")
+        ).when(
+            F.col("decision").isin("redirect_not_followed", "network_error", "processing_error", "unsupported_media", "noindex"), F.col("decision")
         ).when(F.col("decision") == "duplicate_content", "duplicate")
         base = [F.lit("status"), F.lit("last_crawled"), F.lit("error")]
         short = final.filter("decision <> 'asset_ignored'").select(
@@ -221,9 +243,8 @@ class Crawl:
             F.when(F.col("decision") == "duplicate_content", F.array(*base, F.lit("content_hash"))).otherwise(F.array(*base)).alias("set_columns"),
         )
         wide = ["status", "content_hash", "etag", "last_modified", "last_crawled", "last_changed", "error"]
-        header = lambda n: F.try_element_at("headers", F.lit(n))
         stored = docs.select("requested_url", "source_type", "canonical_url", "content_hash", "title").join(
-            rows.select("requested_url", "status", header("ETag").alias("etag"), header("Last-Modified").alias("last_modified")), "requested_url"
+            rows.select("requested_url", "status", _header("ETag").alias("etag"), _header("Last-Modified").alias("last_modified")), "requested_url"
         )
         page = F.col("source_type") == "web_page"
         full = stored.select(

@@ -115,10 +115,59 @@ def test_http_fetch_retries_and_reports_failures(spark):
     config = CrawlConfig(seeds=["x"], allowed_domains=["x"], max_retries=1)
     requests = spark.createDataFrame([(f"http://x/{p}", "tag", None, 0.0) for p in ("ok", "down", "busy")], "url string, etag string, last_modified string, start_at double")
     got = {r.url[9:]: r for r in http_fetch(config, transport, sleep=lambda s: None)(requests).collect()}
-    assert (got["ok"].status, got["ok"].encoding, got["ok"].headers["Seen"], bytes(got["ok"].content)) == (200, "x-y", "tag", b"body")
+    assert (got["ok"].status, got["ok"].encoding, got["ok"].headers["seen"], bytes(got["ok"].content)) == (200, "x-y", "tag", b"body")
     assert got["down"].error == "network_error: TimeoutError" and got["busy"].status == 503
 
 
+def test_a_host_is_never_asked_back_to_back(spark, tmp_path):
+    log = tmp_path / "times"
+    log.mkdir()
+
+    def transport(url, headers, timeout, limit):
+        import pathlib
+        import time
+
+        pathlib.Path(log, f"{time.time():.4f}-{url.rsplit('/', 1)[1]}").touch()
+        time.sleep(0.12 if url.endswith("/3") else 0)
+        return 200, {}, b"x" * 40
+
+    config = CrawlConfig(seeds=["x"], allowed_domains=["x"], max_content_bytes=30)
+    rows = [(f"http://h{i % 2}/{i}", None, None, 0.05 * (i // 2), 0.05) for i in range(20)]
+    requests = spark.createDataFrame(rows, "url string, etag string, last_modified string, start_at double, delay double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = http_fetch(config, transport)(requests).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 20 and all(r.truncated and len(r.content) == 30 for r in got)
+    for host in (0, 1):
+        times = sorted(float(n.split("-")[0]) for n in (p.name for p in log.iterdir()) if int(n.split("-")[1]) % 2 == host)
+        assert min(b - a for a, b in zip(times, times[1:])) > 0.045
+
+
+def test_robots_and_sitemaps_behind_redirects(spark, tmp_path):
+    ok = {"content-type": "text/html"}
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    pages = [
+        ("http://s.com/robots.txt", 301, {"Location": "https://www.s.com/robots.txt"}, b""),
+        ("https://www.s.com/robots.txt", 200, {}, b"User-agent: *\nDisallow: /no\nSitemap: http://s.com/map.xml\n"),
+        ("http://s.com/map.xml", 301, {"location": "http://cdn.org/map2.xml"}, b""),
+        ("http://cdn.org/map2.xml", 200, {}, f"<urlset {ns}><url><loc>http://s.com/inmap</loc></url></urlset>".encode()),
+        ("http://s.com/", 200, ok, html("Home", '<a href="/no">n</a><a href="/hop0">h</a><a href="http://a%5B.s.com/">b</a>')),
+        ("http://s.com/inmap", 200, ok, html("In", "", "map")), ("http://s.com/no", 200, ok, html("No", "", "no")),
+        *[(f"http://s.com/hop{i}", 302, {"Location": f"/hop{i + 1}"}, b"") for i in range(5)],
+    ]
+    table = spark.createDataFrame(pages, "url string, status int, headers map<string,string>, content binary")
+    config = CrawlConfig(seeds=["http://s.com/"], allowed_domains=["s.com"], max_depth=1, max_redirects=2, output_dir=str(tmp_path / "o"), state_db=str(tmp_path / "s"))
+    result = Crawl(spark, config, table_fetch(table), "1", "2024").run()
+    got = {}
+    for r in result.decisions.filter("decision <> 'queued'").collect():
+        got.setdefault(r.decision, set()).add(r.url)
+    assert got["indexed"] == {"http://s.com/", "http://s.com/inmap"} and got["skipped_robots"] == {"http://s.com/no"}
+    assert got["redirect_limit"] == {"http://s.com/hop0"}
+    assert result.state.filter("url = 'http://s.com/hop0'").first().error == "redirect_not_followed"
+
+
 def test_redirect_chains(spark):
     rows = [("http://x/a", 301, "/b"), ("http://x/b", 302, "c"), ("http://x/c", 200, None), ("http://x/self", 301, "/self#f"), ("http://x/no", 301, None),
             ("http://x/off", 301, "http://y/"), *[(f"http://x/{i}", 301, f"/{i + 1}") for i in range(9)]]
@@ -139,6 +188,19 @@ def test_sitemaps(spark):
     assert SM.discover(df, roots, max_sitemaps=1).isEmpty()
 
 
+def test_damaged_and_deep_sitemaps(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    whole = bytearray(gzip.compress(f"<urlset {ns}><url><loc>/1</loc></url></urlset>".encode()))
+    whole[12] ^= 0xFF
+    deep = 60
+    files = [(f"http://x/{i}.xml", f"<sitemapindex {ns}><sitemap><loc>/{i + 1}.xml</loc></sitemap></sitemapindex>".encode()) for i in range(deep)]
+    files += [(f"http://x/{deep}.xml", f"<urlset {ns}><url><loc>/end</loc></url></urlset>".encode()), ("http://x/broken.gz", bytes(whole))]
+    df = spark.createDataFrame(files, "url string, content binary")
+    assert SM.parse_sitemaps(df).filter("sitemap_url LIKE '%broken%'").isEmpty()
+    few = SM.discover(df.filter(f"url >= 'http://x/{deep - 3}' OR url LIKE '%6_.xml'"), spark.createDataFrame([(f"http://x/{deep - 3}.xml",)], "url string"))
+    assert [r.url for r in few.collect()] == ["http://x/end"]
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("seeds: [http://a/]\nallowed_domains: [a]\nmax_depth: 3\n")

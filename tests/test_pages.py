@@ -108,3 +108,23 @@ def test_text_helpers(one):
     assert one(T.report_terms("t"), t="The quick-fox isn't THREE now x9") == ["quick-fox"]
     assert one(F.array_join(T.bigrams(T.report_terms("t")), ","), t="alpha beta the gamma") == "alpha beta,beta gamma"
     assert one(T.bar(F.lit(1), F.lit(1000)), t="") == "#" and one(T.bar(F.lit(0), F.lit(5)), t="") == ""
+
+
+def test_one_odd_page_spoils_nothing(spark):
+    from siltstone.functions import http as X
+
+    rows = [(1, "<p>a<![foo[x]]>b</p>", "idna"), (2, "<p>plain</p>", "utf-8"), (3, None, "undefined")]
+    df = spark.createDataFrame(rows, "id int, html string, charset string")
+    got = {r.id: r for r in df.select("id", H.parsed_page("html").alias("p"), X.decode_body(F.encode("html", "utf-8"), "charset").alias("text")).collect()}
+    assert got[1].p.error is None and got[1].p.raw_text == "ab" and got[2].p.raw_text == "plain"
+    assert [got[i].text for i in (1, 2, 3)] == [rows[0][1], rows[1][1], None]
+    rules = spark.createDataFrame([("User-agent: *\nDisallow: /x", 200, u) for u in ("http://a%5B.example.com/", "http://a.com/x", "http://a.com/y")], "t string, s int, u string")
+    assert [r[0] for r in rules.select(X.robots_allows("bot")("t", "s", "u")).collect()] == [False, False, True]
+
+
+def test_scripts_do_not_make_main_content():
+    script = "<script>" + "x" * 400 + "</script>"
+    page = H.parse_page(f"<body><main>{script}short</main><div>{'body text ' * 40}</div></body>")
+    assert "body text" in page["raw_text"]
+    same = "words " * 60
+    assert H.parse_page(f"<body><article>{same}first</article><main>{same}other</main></body>")["raw_text"].endswith("other")

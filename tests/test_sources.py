@@ -91,3 +91,27 @@ def test_first_seen_urls_streams_each_url_once(spark, tmp_path):
     q = ingest.first_seen_urls(stream).writeStream.format("memory").queryName("first_seen").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.url for r in spark.table("first_seen").collect()) == ["u", "v"]
+
+
+def test_values_of_other_types_cost_no_record(spark, tmp_path):
+    lines = [
+        '{"url": "a", "word_count": 3.0, "headings": ["x", "y"]}', '{"url": "b", "http_status": "200", "keywords": "one"}',
+        '{"url": "c", "sections": [{"heading": "h", "level": "2", "text": "t"}], "js_rendered": "true"}', '{"url": "d", "depth": 1, "title": 7}',
+        '{"url": "torn", ', "[1, 2]", "",
+    ]
+    (tmp_path / "documents_1.jsonl").write_text("\n".join(lines))
+    got = {r.url: r for r in jsonl.read_documents(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    assert (got["a"].word_count, got["a"].headings, got["b"].http_status, got["b"].keywords) == (3, ["x", "y"], 200, ["one"])
+    assert got["c"].sections[0].level == 2 and got["c"].js_rendered is True and got["d"].title == "7" and got["d"].depth == 1
+    assert jsonl.torn_lines(spark, str(tmp_path)).first().torn == 2
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from siltstone.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
