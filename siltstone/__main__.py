@@ -102,10 +102,10 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _engine(spark: SparkSession, path: str) -> Engine:
-    stored = tables.read_snapshot(spark, path)
-    if stored is None:
-        raise SystemExit(f"no index at {path}")
-    return Engine(spark).with_chunks(stored)
+    try:
+        return Engine(spark).open(path)
+    except FileNotFoundError as missing:
+        raise SystemExit(str(missing)) from None
 
 
 def _question(spark: SparkSession, text: str) -> DataFrame:

@@ -84,6 +84,8 @@ class AnswerConfig:
     """Sizes and switches of retrieval and answering."""
 
     index_name: str = "chunks"
+    # Stem the words of texts and questions as English.
+    stem: bool = False
     embedding_model: str = "hashed-64"
     reranker_model: str = "lexical-overlap"
     answer_model: str = "extractive"

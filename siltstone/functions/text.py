@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .binding import let
 
 # Words the corpus report leaves out of its rankings (callers add their product's name).
 REPORT_STOPWORDS = (
@@ -26,6 +24,7 @@ ENGLISH_STOPWORDS = (
 # What the corpus report calls a word; what the search index calls a word.
 REPORT_WORD = r"[a-z][a-z0-9'\-]{2,}"
 INDEX_WORD = r"[\p{L}\p{N}]+"
+ENGLISH_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 # The reply when nothing was retrieved, and the part by which evaluation knows it.
 NO_ANSWER_TEXT = "I couldn't find anything in the indexed corpus to answer that."
@@ -86,83 +85,91 @@ def bar(value: Column, peak: Column, width: int = 28) -> Column:
     return F.when(value > 0, F.repeat(F.lit("#"), marks)).otherwise("")
 
 
-_VOWEL = "aeiou"
+# Porter's English stemmer (1980) as rewrite rules, so that Spark and SQL can run the same list. A step is a
+# list of rules in order: the first whose ending fits decides, and rewrites if the stem meets its condition.
+_CONSONANTS, _VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_HEAD = f"^(?:{_CONSONANTS})?"
+_ANY, _SOME_VOWEL = "^[a-z]*", f"{_HEAD}[aeiouy][a-z]*"
+_M1 = f"{_HEAD}{_VOWELS}{_CONSONANTS}[a-z]*"
+_M2 = f"{_HEAD}(?:{_VOWELS}{_CONSONANTS}){{2}}[a-z]*"
+_HALF = f"{_HEAD}{_VOWELS}{_CONSONANTS}{_VOWELS}[a-z]*"
+_SHORT = f"^{_CONSONANTS}[aeiouy][^aeiouwxy]"
+
+# Endings and their replacements, longest first where one ends another.
+_DERIVED = (
+    "ational:ate ization:ize iveness:ive fulness:ful ousness:ous tional:tion biliti:ble entli:ent ousli:ous ation:ate "
+    "alism:al aliti:al iviti:ive enci:ence anci:ance izer:ize abli:able alli:al ator:ate eli:e"
+)
+_ADJECTIVES = "icate:ic ative: alize:al iciti:ic ical:ic ness: ful:"
+_DROPPED = "ement ance ence able ible ment ant ent ism ate iti ous ive ize al er ic ou"
 
 
-def _shape(word: str) -> str:
-    """Consonant/vowel shape of a word; y is a vowel after a consonant."""
-    out = ""
-    for ch in word:
-        vowel = ch in _VOWEL or (ch == "y" and out[-1:] == "c")
-        out += "v" if vowel else "c"
-    return out
+def _endings(pairs: str, condition: str) -> list[tuple[str, str, str]]:
+    return [(end, condition, new) for end, _, new in (p.partition(":") for p in pairs.split())]
 
 
-def _measure(stem: str) -> int:
-    return _shape(stem).count("vc")
+#: Each rule: ending, condition on what stands before it, replacement. Endings are patterns.
+STEM_STEPS: list[list[tuple[str, str, str]]] = [
+    [("['’]s", "^.*", "")],
+    [("sses", _ANY, "ss"), ("ies", _ANY, "i"), ("ss", _ANY, "ss"), ("s", _ANY, "")],
+    [("eed", _M1, "ee"), ("ed", _SOME_VOWEL, "#"), ("ing", _SOME_VOWEL, "#")],
+    [("at#", _ANY, "ate"), ("bl#", _ANY, "ble"), ("iz#", _ANY, "ize"),
+     *[(f"{c}{c}#", _ANY, c) for c in "bcdfghjkmnpqrtvwx"], ("#", _SHORT, "e"), ("#", _ANY, "")],
+    [("y", _SOME_VOWEL, "i")],
+    _endings(_DERIVED, _M1),
+    _endings(_ADJECTIVES, _M1),
+    [("ion", f"{_HALF}[st]", ""), *[(end, _M2, "") for end in _DROPPED.split()]],
+    [("e", _M2, ""), ("e", f"{_SHORT}", "e"), ("e", _M1, "")],
+    [("l", f"{_HALF}l", "")],
+]
 
 
-# Porter (1980) suffix tables: (suffix, replacement), longest match wins.
-_STEP2 = dict(
-    ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al", entli="ent",
-    eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al", iveness="ive", fulness="ful",
-    ousness="ous", aliti="al", iviti="ive", biliti="ble",
-)
-_STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-
+def _stem_tests(ending: str, condition: str) -> tuple[str, str]:
+    """Patterns of whole words: those for which a rule decides, and those it rewrites, stem captured.
 
-def _longest(word: str, suffixes: Iterator[str] | list[str] | dict[str, str]) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
+    An ending that several rules share (``#``, ``e``) leaves words that fail its condition to the next.
+    """
+    rewritten = f"({condition}){ending}$"
+    return rewritten if ending in ("#", "e") else f"^.*{ending}$", rewritten
 
 
-def _ends_cvc(word: str) -> bool:
-    return _shape(word).endswith("cvc") and word[-1] not in "wxy"
+def english_stem(term: Column | str) -> Column:
+    """Stem of a lower-case term; a possessive goes first, short and non-English words stay."""
+    word = F.regexp_replace(_col(term), "['’]s$", "")
+    out = let(word, lambda w: _stem_steps(w, 1))
+    return F.when(word.rlike("^[a-z]{3,}$"), out).otherwise(word)
 
 
-def porter_stem(word: str) -> str:
-    """Porter's English stemmer (published algorithm), possessive removed first."""
-    for tail in ("'s", "’s"):
-        word = word.removesuffix(tail)
-    if len(word) <= 2 or not word.isascii():
+def _stem_steps(word: Column, step: int) -> Column:
+    if step == len(STEM_STEPS):
         return word
-    if word.endswith("sses") or word.endswith("ies"):
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
-        word = word[:-1]
-    if word.endswith("eed"):
-        word = word[:-1] if _measure(word[:-3]) else word
-    else:
-        cut = _longest(word, ["ed", "ing"])
-        if cut and "v" in _shape(word[: -len(cut)]):
-            word = word[: -len(cut)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
-                word = word[:-1]
-            elif _measure(word) == 1 and _ends_cvc(word):
-                word += "e"
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        cut = _longest(word, table)
-        if cut and _measure(word[: -len(cut)]):
-            word = word[: -len(cut)] + table[cut]
-    cut = _longest(word, _STEP4)
-    if cut:
-        stem = word[: -len(cut)]
-        if _measure(stem) > 1 and (cut != "ion" or stem.endswith(("s", "t"))):
-            word = stem
-    if word.endswith("e"):
-        stem = word[:-1]
-        if _measure(stem) > 1 or (_measure(stem) == 1 and not _ends_cvc(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word) > 1:
-        word = word[:-1]
-    return word
-
-
-@F.pandas_udf(StringType())
-def stem_udf(term: pd.Series) -> pd.Series:
-    """Stem a column of terms. Apply it to the distinct vocabulary, not to every token."""
-    return term.map(porter_stem, na_action="ignore")
+    return let(_stem_step(word, STEM_STEPS[step]), lambda w: _stem_steps(w, step + 1))
+
+
+def _stem_step(word: Column, rules: list[tuple[str, str, str]]) -> Column:
+    out = word
+    for ending, condition, new in reversed(rules):
+        test, rewritten = _stem_tests(ending, condition)
+        out = F.when(word.rlike(test), F.regexp_replace(word, rewritten, f"$1{new}")).otherwise(out)
+    return out
+
+
+def english_terms(text: Column | str) -> Column:
+    """Lower-cased words, apostrophes inside kept, without English stop words: what `english_stem` stems."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(ENGLISH_WORD), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(ENGLISH_STOPWORDS))
+
+
+def stem_sql(term: str) -> str:
+    """The same stemmer as a DuckDB expression over a term expression, by nested sub-queries."""
+    bare = f"regexp_replace({term}, '[''’]s$', '')"
+    out = "w0"
+    inner = f"(SELECT {bare} AS w0)"
+    for number, rules in enumerate(STEM_STEPS[1:]):
+        case = f"w{number}"
+        for ending, condition, new in reversed(rules):
+            test, rewritten = _stem_tests(ending, condition)
+            case = f"CASE WHEN regexp_matches(w{number}, '{test}') THEN regexp_replace(w{number}, '{rewritten}', '\\1{new}') ELSE {case} END"
+        inner = f"(SELECT w0, {case} AS w{number + 1} FROM {inner})"
+        out = f"w{number + 1}"
+    return f"(SELECT CASE WHEN regexp_matches(w0, '^[a-z]{{3,}}$') THEN {out} ELSE w0 END FROM {inner})"

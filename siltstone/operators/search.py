@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.text import index_terms
+from ..functions.text import english_stem, english_terms, index_terms
 from ..functions.vectors import dot, doubles
 from ..session import materialise
 from .ranks import top_k_per
@@ -288,23 +289,23 @@ def hybrid_topk(
     """
     lexical = bm25_topk(docs, queries, k, doc_id, boosts, analyze)
     semantic = knn_topk(docs.select(F.col(doc_id).alias("doc_id"), "embedding"), queries, k)
-    lists = lexical.select("query_id", F.lit(0).alias("list_no"), "rank", "doc_id").unionByName(
+    return fuse_ranks(_two_lists(lexical, semantic), ("query_id",), k)
+
+
+def _two_lists(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    return lexical.select("query_id", F.lit(0).alias("list_no"), "rank", "doc_id").unionByName(
         semantic.select("query_id", F.lit(1).alias("list_no"), "rank", "doc_id")
     )
-    return fuse_ranks(lists, ("query_id",), k)
 
 
-def fused_variants(
-    docs: DataFrame, variants: DataFrame, k: int, doc_id: str = "chunk_id", boosts: dict[str, float] = FIELD_BOOSTS,
-    analyze: Analyzer = index_terms,
-) -> DataFrame:
+def fused_variants(variants: DataFrame, k: int, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Hybrid search for every variant of a question, fused once more per question.
 
     ``variants`` has ``query_id, variant, query, embedding``; all variants of all questions
-    are searched in one pass.
+    are searched in one pass by ``search(queries, k)``.
     """
     flat = variants.withColumn("query_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
-    hits = hybrid_topk(docs, flat, k, doc_id, boosts, analyze)
+    hits = search(flat, k)
     key_type = variants.schema["query_id"].dataType
     lists = hits.select(
         F.regexp_extract("query_id", r"^(.*)#\d+$", 1).cast(key_type).alias("query_id"),
@@ -328,8 +329,86 @@ def lexical_overlap(query: Column | str, passage: Column | str, analyze: Analyze
 
 # ------------------------------------------------------------------ stored index
 
+INDEX_BUCKETS = 64
+_SPREAD = 8
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A written inverted index: what `write_index` left under ``path``.
+
+    ``stem`` says whether terms were stemmed; questions are then analysed the same way.
+    """
+
+    spark: SparkSession
+    path: str
+    stem: bool
+
+    def analyze(self, text: Column) -> Column:
+        return F.transform(english_terms(text), english_stem) if self.stem else index_terms(text)
+
+    def _part(self, name: str, buckets: list[int]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").filter(F.col("bucket").isin(buckets)).drop("bucket", "spread")
+
+    def lookup(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Postings and frequencies of the buckets that hold the wanted terms, and field statistics.
+
+        At most ``INDEX_BUCKETS`` bucket numbers come to the driver. Folders of other buckets are never
+        opened, and inside a bucket rows are sorted by term, so few row groups are read.
+        """
+        buckets = [r.bucket for r in wanted.select(_bucket("term")).distinct().collect()]
+        return self._part("postings", buckets), self._part("terms", buckets), self.spark.read.parquet(f"{self.path}/fields")
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int").alias("bucket")
+
+
+def write_index(docs: DataFrame, path: str, doc_id: str = "chunk_id", fields: list[str] | None = None, stem: bool = False) -> TextIndex:
+    """Write postings, term and field statistics of ``docs``; texts are read and analysed once.
+
+    With ``stem`` the distinct vocabulary is stemmed once and postings are joined to it. Postings are
+    laid out by term bucket and, within it, by a hash of the document, so that a term found in a third
+    of all documents is written and read by several tasks.
+    """
+    fields = fields or list(FIELD_BOOSTS)
+    terms = materialise(field_terms(docs, doc_id, fields, english_terms if stem else index_terms), "terms")
+    post = postings(terms)
+    if stem:
+        raw = materialise(post, "raw-postings")
+        stems = materialise(raw.select("term").distinct().withColumn("stem", english_stem("term")), "stems")
+        post = raw.join(stems, "term").groupBy("field", F.col("stem").alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+    placed = post.withColumn("bucket", _bucket("term")).withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(_SPREAD)))
+    placed = placed.repartition("bucket", "spread").sortWithinPartitions("bucket", "term", "field")
+    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.parquet(f"{path}/postings")
+    term_stats(stored).withColumn("bucket", _bucket("term")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    field_stats(terms).write.parquet(f"{path}/fields")
+    return TextIndex(docs.sparkSession, path, stem)
+
+
+def bm25_indexed(index: TextIndex, queries: DataFrame, k: int, boosts: dict[str, float] = FIELD_BOOSTS) -> DataFrame:
+    """Top ``k`` documents per query from a stored index: ``query_id, doc_id, score, rank``. No text is read."""
+    wanted = materialise(query_terms(queries, index.analyze), "query-terms")
+    post, frequencies, stats = index.lookup(wanted)
+    named = F.col("field").isin(list(boosts))
+    scores = bm25_scores(post.filter(named), stats, wanted, boosts, frequencies.filter(named))
+    return top_k_per(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def hybrid_indexed(index: TextIndex, vectors: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float] = FIELD_BOOSTS) -> DataFrame:
+    """Stored BM25 and vector search (``doc_id, embedding``), fused by rank: ``query_id, doc_id, score, rank``."""
+    lexical, semantic = bm25_indexed(index, queries, k, boosts), knn_topk(vectors, queries, k)
+    return fuse_ranks(_two_lists(lexical, semantic), ("query_id",), k)
+
+
 
 def merge_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Index contents after loading ``incoming``: same chunk id replaces, others stay."""
-    new = incoming.dropDuplicates(["chunk_id"])
+    """Index contents after loading ``incoming``: same chunk id replaces, others stay; of equal ids the last counts.
+
+    ``incoming`` is computed once and written, so a model that embeds it runs once.
+    """
+    numbered = materialise(incoming.withColumn("_at", F.monotonically_increasing_id()), "incoming")
+    last = numbered.groupBy("chunk_id").agg(F.max("_at").alias("_at"))
+    new = numbered.join(last, ["chunk_id", "_at"], "left_semi").drop("_at")
     return new.unionByName(existing.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*new.columns))

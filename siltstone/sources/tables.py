@@ -13,6 +13,12 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has finished."""
+    fs, Path = _filesystem(spark, path)
+    return fs.exists(Path(f"{path}/_SUCCESS"))
+
+
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """Highest complete version (Spark's ``_SUCCESS`` mark) under a snapshot path."""
     fs, Path = _filesystem(spark, path)

@@ -99,7 +99,7 @@ def test_engine_answers_and_verifies(spark, corpus):
     assert got[1].answer.startswith("Rotate the access key every ninety days [1].")
     assert got[1].citations[0].url == "https://kb/a" and got[1].verification.grounded and got[1].retry_count == 0
     nodes = [r.node for r in engine.trace(answers).filter("query_id = 1").orderBy("step").collect()]
-    assert nodes == ["query_agent", "retrieval_agent", "reranking_agent", "answer_agent", "verification_agent"]
+    assert nodes == ["rewrite", "search", "rerank", "answer", "check"]
 
 
 def test_engine_retries_ungrounded_answers_once(spark, corpus):
