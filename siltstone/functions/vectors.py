@@ -44,8 +44,8 @@ def unit(vec: Column | str) -> Column:
 
 
 def term_bucket(term: Column, dim: int) -> Column:
-    """Feature-hashing bucket of a term (first two hex digits of its MD5, modulo ``dim``)."""
-    return F.conv(F.substring(F.md5(term), 1, 2), 16, 10).cast("int") % dim
+    """Feature-hashing bucket of a term (first eight hex digits of its MD5, modulo ``dim``)."""
+    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim).cast("int")
 
 
 def _unit_counts(dim: int):

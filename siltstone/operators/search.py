@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -129,8 +129,8 @@ def bm25_topk(
 
 # ------------------------------------------------------------------ vector search
 
-MAX_QUERIES_PER_PASS = 4096
-_VECTORS_PER_BLOCK = 50_000
+QUERY_BLOCK = 1024
+VECTOR_BLOCK = 4096
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -155,70 +155,56 @@ def _merge_block(best: dict, qids: list, queries: np.ndarray, ids: np.ndarray, v
         best[qid] = (s, i)
 
 
-def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_QUERIES_PER_PASS) -> DataFrame:
-    """Exact inner-product search: ``query_id, doc_id, score, rank``.
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Blocks of at most ``size`` rows ``key, embedding`` of one length: their keys, and their numbers end to end.
 
-    ``vectors`` is ``doc_id, embedding``; ``queries`` is ``query_id, embedding``. A query set of
-    checked size travels to the tasks as one matrix, and every task reduces its share of the
-    vectors to k rows per query by block products, so only those rows shuffle. A larger query
-    set takes :func:`_knn_blocks`, which is exact as well and broadcasts nothing.
+    Rows without a vector go here: a filter in Spark would run the embedding model twice.
     """
-    queries = queries.select("query_id", doubles("embedding").alias("embedding"))
-    vectors = vectors.select("doc_id", doubles("embedding").alias("embedding"))
-    head = queries.limit(max_queries + 1).collect()
-    if len(head) > max_queries:
-        found = _knn_blocks(vectors, queries, k, max_queries)
-    else:
-        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id " \
-                 f"{vectors.schema['doc_id'].dataType.simpleString()}, score double"
-        qids = [r.query_id for r in head]
-        matrix = np.array([r.embedding for r in head], dtype=float)
-        qid_type, doc_type = (to_arrow_type(f.dataType) for f in (queries.schema["query_id"], vectors.schema["doc_id"]))
-
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-            for batch in batches:
-                # Rows without a vector go here: a filter in Spark would run the embedding model twice.
-                batch = batch.filter(batch.column(1).is_valid())
-                if batch.num_rows and qids:
-                    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    ids = batch.column(0).to_numpy(zero_copy_only=False)
-                    _merge_block(best, qids, matrix, ids, flat.reshape(batch.num_rows, -1), k)
-            for qid, (s, i) in best.items():
-                columns = [pa.array([qid] * len(s), qid_type), pa.array(i.tolist(), doc_type), pa.array(s, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
-
-        found = vectors.mapInArrow(local, schema)
-    return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-
-
-def _knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int) -> DataFrame:
-    """Block-nested search for query sets too large to broadcast.
+    key_type = rows.schema[key].dataType
+    arrow_type = to_arrow_type(key_type)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            lengths = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                alike = batch.filter(pa.array(lengths == length))
+                for start in range(0, alike.num_rows, size):
+                    part = alike.slice(start, size)
+                    numbers = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+                    columns = [pa.array([part.column(0).to_pylist()], pa.list_(arrow_type)), pa.array([length], pa.int32()), pa.array([numbers], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[f"{key}s", f"{key}_length", f"{key}_data"])
+
+    schema = f"{key}s array<{key_type.simpleString()}>, {key}_length int, {key}_data binary"
+    return rows.select(key, doubles("embedding").alias("embedding")).mapInArrow(pack, schema)
+
+
+def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """Exact inner-product search: ``query_id, doc_id, score, rank``.
 
-    Both sides are hashed into blocks of bounded size; every (vector block, query block) pair
-    is one small group that emits k rows per query.
+    ``vectors`` is ``doc_id, embedding``; ``queries`` is ``query_id, embedding``. Both sides are packed
+    into blocks where they are, and every block of vectors meets every block of queries as a matrix
+    product, at any number of either. The query blocks are written first, so Spark knows their size and
+    sends them to the vectors only if they are small. A task keeps k rows per query of all it has seen.
     """
-    n_q = max(1, math.ceil(queries.count() / max(1, max_queries // 2)))
-    n_v = max(1, math.ceil(vectors.count() / _VECTORS_PER_BLOCK))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id " \
-             f"{vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    left = vectors.withColumn("vb", F.pmod(F.xxhash64("doc_id"), F.lit(n_v))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-    )
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)))
-    )
+    doc_type, query_type = vectors.schema["doc_id"].dataType, queries.schema["query_id"].dataType
+    asked = materialise(_packed(queries, "query_id", query_block), "query-blocks")
+    pairs = _packed(vectors, "doc_id", vector_block).join(asked, F.col("doc_id_length") == F.col("query_id_length"))
+    arrow_types = [to_arrow_type(query_type), to_arrow_type(doc_type), pa.float64()]
 
-    def pair(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}
-        v = v[v["embedding"].notna()]
-        if len(v) and len(q):
-            _merge_block(best, q["query_id"].tolist(), np.stack(q["embedding"]), v["doc_id"].to_numpy(),
-                         np.stack(v["embedding"]), k)
-        rows = [(qid, doc, score) for qid, (s, i) in best.items() for score, doc in zip(s, i)]
-        return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(pair, schema)
+        for batch in batches:
+            for ids, length, data, qids, asked_data in zip(*[c.to_pylist() for c in batch.columns]):
+                block = np.frombuffer(data).reshape(len(ids), length)
+                _merge_block(best, qids, np.frombuffer(asked_data).reshape(len(qids), length), np.array(ids), block, k)
+        for qid, (s, i) in best.items():
+            columns = [pa.array(c, t) for c, t in zip(([qid] * len(s), i.tolist(), s), arrow_types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
+
+    found = pairs.select("doc_ids", "doc_id_length", "doc_id_data", "query_ids", "query_id_data")
+    found = found.mapInArrow(local, f"query_id {query_type.simpleString()}, doc_id {doc_type.simpleString()}, score double")
+    return top_k_per(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def train_cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> DataFrame:
@@ -233,19 +219,23 @@ def train_cells(vectors: DataFrame, n_cells: int, seed: int = 7) -> DataFrame:
 
 
 def nearest_cells(vectors: DataFrame, cells: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The ``n`` closest cells of every vector.
+    """The ``n`` closest cells of every vector, by the distance the cells were trained with; null vectors have none.
 
     The cell table has as many rows as cells were asked for, so it travels to the tasks whole.
     """
     rows = cells.orderBy("cell").collect()
     numbers, matrix = np.array([r.cell for r in rows]), np.array([r.centroid for r in rows], dtype=float)
+    lengths = (matrix**2).sum(axis=1)
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def closest(embedding: pd.Series) -> pd.Series:
-        scores = np.stack([np.asarray(v, dtype=float) for v in embedding]) @ matrix.T
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        return pd.Series(list(numbers[order]))
+        if embedding.empty:
+            return pd.Series([], dtype=object)
+        points = np.stack([np.asarray(v, dtype=float) for v in embedding])
+        apart = lengths - 2 * points @ matrix.T  # squared distance to every centroid, up to the point's own length
+        return pd.Series(list(numbers[np.argsort(apart, axis=1, kind="stable")[:, :n]]))
 
+    vectors = vectors.filter(F.col("embedding").isNotNull())
     return vectors.select(id_col, "embedding", F.explode(closest(doubles("embedding"))).alias("cell"))
 
 

@@ -10,7 +10,7 @@ from ..functions import http as X
 from ..functions import urls as U
 from ..operators import frontier as FR
 from ..operators import sitemaps as SM
-from ..session import materialise, spread
+from ..session import materialise
 from .catalog import query, table
 from .page_queries import SQL_MAIN
 from .url_queries import SQL_IS_DOCUMENT, SQL_LINKS, SQL_MEDIA, SQL_MEDIA_TYPE, SQL_RESPONSES, page_links, responses, sql_canonical, sql_host
@@ -178,7 +178,7 @@ SELECT page_id, CASE WHEN host LIKE '%.net' THEN TRUE WHEN host LIKE 'www.%' THE
 )
 def robots_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("host", U.url_host("url"))
-    joined = spread(pages.select("page_id", "url", "host")).join(robots_files(spark, sf_dir), "host", "left")
+    joined = pages.select("page_id", "url", "host").join(robots_files(spark, sf_dir), "host", "left")
     return joined.select(
         "page_id", X.robots_allows(AGENT)("robots_txt", "status", "url").alias("allowed"),
         X.robots_crawl_delay(AGENT)("robots_txt", "status").alias("crawl_delay"),
@@ -239,6 +239,6 @@ def crawl_pages(spark, sf_dir):
     gated = FR.gate(rows, CONFIG)
     front = materialise(FR.enqueue(gated, None).select("url"), "frontier")
     stored = pages.withColumn("url", U.canonical_url("url")).groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    hit = spread(front.join(stored, "url")).withColumn("p", H.parsed_page("html"))
+    hit = front.join(stored, "url").withColumn("p", H.parsed_page("html"))
     text = H.page_columns(F.col("p"), F.col("url"))["text"]
     return mark_duplicates(hit.select("url", content_hash(text).alias("content_hash")), ["url"])

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import frontier
 from ..operators import state as S
-from ..session import spread
+
 from .catalog import query, table
 from .url_queries import SQL_LINKS, sql_canonical
 
@@ -41,7 +41,7 @@ main AS (SELECT page_id, url, html, main, trim(regexp_replace(regexp_replace(arr
 
 def parsed(spark, sf_dir):
     """Pages with their extracted fields."""
-    pages = spread(table(spark, sf_dir, "pages")).withColumn("parsed", H.parsed_page("html"))
+    pages = table(spark, sf_dir, "pages").withColumn("parsed", H.parsed_page("html"))
     fields = H.page_columns(F.col("parsed"), F.col("url"))
     return pages.select("page_id", F.col("url"), *[c.alias(n) for n, c in fields.items()])
 
@@ -68,7 +68,7 @@ def pages_with_meta(spark, sf_dir):
         F.lit('"><meta property="article:published_time" content="2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"),
         F.lit('"></head>'),
     )
-    return spread(table(spark, sf_dir, "pages")).withColumn("html", F.replace("html", F.lit("</head>"), tags))
+    return table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</head>"), tags))
 
 
 @query(
@@ -173,7 +173,7 @@ def charset_detect(spark, sf_dir):
         .otherwise(F.concat(F.encode(ascii_title, "US-ASCII"), F.unhex(F.lit("E9"))))
     )
     header = F.when(url.endswith(".html"), "text/html; Charset='iso-8859-2'")
-    rows = spread(table(spark, sf_dir, "pages")).select("page_id", title.alias("title"), ascii_title.alias("plain"), body.alias("body"), header.alias("header"))
+    rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), ascii_title.alias("plain"), body.alias("body"), header.alias("header"))
     rows = rows.withColumn("charset", X.charset_of("header", "body")).withColumn("decoded", X.decode_body("body", "charset"))
     found = F.contains("decoded", F.regexp_extract("title", r"([A-Za-z]+)", 1))
     return rows.select("page_id", "charset", found.alias("same"))

@@ -10,7 +10,7 @@ from ..functions import vectors as V
 from ..operators import chunking as C
 from ..operators import evaluate as E
 from ..operators import search as S
-from ..session import materialise, shared_path, spread
+from ..session import materialise, shared_path
 from .catalog import query, table
 from .report_queries import SQL_WORDS
 
@@ -51,7 +51,7 @@ def sql_bm25(queries: str, prefix: str, k: int, fields: str = "('content', 2.0),
 
 def sql_embed(relation: str, key: str, text: str, result: str, dim: int = 64) -> str:
     """CTE ``result (key, v)``: hashed term counts of a text column."""
-    bucket = f"(('0x' || substr(md5(t), 1, 2))::INTEGER % {dim})"
+    bucket = f"(('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})"
     return f"""
 {result}_b AS MATERIALIZED (SELECT {key}, list_transform({SQL_TOK.format(text)}, lambda t: {bucket}) AS b FROM {relation}),
 {result} AS MATERIALIZED (SELECT {key}, list_transform(range({dim}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM {result}_b)"""
@@ -79,7 +79,7 @@ def sql_rrf(lists: str, prefix: str, k: int) -> str:
 
 
 def search_docs(spark, sf_dir, embed: bool = False):
-    docs = spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("content"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("source").alias("section"),
     )
@@ -109,7 +109,7 @@ SQL_QUESTIONS = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark
 
 @query(f"""SELECT doc_id, array_to_string({SQL_TOK.format('text')}, ' ') AS terms FROM documents""")
 def analyze_terms(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(T.index_terms("text"), " ").alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.index_terms("text"), " ").alias("terms"))
 
 
 @query(
@@ -339,7 +339,7 @@ def sectioned(spark, sf_dir):
     ))
     structured = F.col("lang") != "es"
     text_type = "array<struct<heading:string,level:int,text:string>>"
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("content_hash"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.lit("").alias("canonical_url"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "text",
@@ -403,7 +403,7 @@ def token_count(spark, sf_dir):
 SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos, unnest(parts) AS content FROM w"""
 )
 def chunk_window(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(C.windows(F.col("text"), CHUNK, OVERLAP)).alias("pos", "content")
     )
 

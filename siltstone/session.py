@@ -67,14 +67,3 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_path(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Feed all cores from a scan with too few splits; a no-op for well-split tables.
-
-    Only for a bare scan ahead of CPU-heavy per-row work (parsing, tokenising): a handful of
-    small files would otherwise run in a handful of tasks. A scan with at least as many splits
-    as the cluster has cores is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
