@@ -48,9 +48,10 @@ def enqueue(gated: DataFrame, seen: DataFrame | None) -> DataFrame:
 def walk_depths(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Smallest link depth of every node reachable within ``max_depth`` (``src, dst`` edges).
 
-    One round per depth, each written to shared storage, so lineage stays flat. Each round
-    joins the new level (distinct nodes) with the edges and drops visited nodes.
+    The distinct edges are written once. One round per depth, each written to shared storage, so
+    lineage stays flat: it joins the new level (distinct nodes) with the edges and drops visited nodes.
     """
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
     level = materialise(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     visited = level
     for depth in range(1, max_depth + 1):

@@ -23,12 +23,16 @@ def talk(spark, sf_dir):
 
 
 @query(
-    f"""WITH q AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN ' ' || split_part(text, '.', 1) || ' ' ELSE text END AS q FROM conversations)
-SELECT conv_id, turn, CASE WHEN {SQL_WORDS.format('q')} <= 2 THEN trim(q, ' ' || chr(10)) || ' Manual' ELSE trim(q, ' ' || chr(10)) END AS rewritten FROM q"""
+    f"""WITH q AS (SELECT conv_id, turn, ' ' || text || ' ' AS q, role FROM conversations)
+SELECT conv_id, turn, CASE WHEN {SQL_WORDS.format('q')} <= 2 THEN trim(q, ' ' || chr(10)) || ' Manual' ELSE trim(q, ' ' || chr(10)) END AS rewritten,
+  role || ' Manual' AS short FROM q"""
 )
 def query_rewrite(spark, sf_dir):
-    short = F.when(F.col("turn") == 0, F.concat(F.lit(" "), F.split_part("text", F.lit("."), F.lit(1)), F.lit(" "))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.rewrite_query(short, "Manual").alias("rewritten"))
+    """Whole texts as questions, and the role as a question of one word."""
+    padded = F.concat(F.lit(" "), "text", F.lit(" "))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", A.rewrite_query(padded, "Manual").alias("rewritten"), A.rewrite_query("role", "Manual").alias("short")
+    )
 
 
 @query(

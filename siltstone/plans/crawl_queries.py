@@ -201,7 +201,7 @@ def sitemap_files(spark, sf_dir):
     entry = lambda tag, loc, mod="": F.concat(F.lit(f"<{tag}><loc> "), loc, F.lit(" </loc>"), F.lit(mod) if isinstance(mod, str) else mod, F.lit(f"</{tag}>"))
     mod = F.concat(F.lit("<lastmod>2024-01-"), F.lpad((pid % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))
     pages = table(spark, sf_dir, "pages").select("page_id", U.canonical_url("url").alias("u"), H.html_hrefs("html").alias("hrefs"))
-    plain = F.filter("hrefs", lambda h: h.rlike("^/[a-z]+$"))
+    plain = F.filter("hrefs", lambda h: h.rlike("^/[A-Za-z]+$"))
     body = F.concat(
         F.lit(ns.format("urlset")), F.array_join(F.transform(plain, lambda h: entry("url", h)), ""),
         entry("url", F.concat(F.lit("https://pages.example.com/"), pid.cast("string")), mod), F.when(pid % 10 == 7, "").otherwise("</urlset>"),
@@ -212,7 +212,7 @@ def sitemap_files(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda h: regexp_matches(h, '^/[a-z]+$')))) AS href
+    """WITH l AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda h: regexp_matches(h, '^/[A-Za-z]+$')))) AS href
    FROM pages WHERE page_id % 10 <> 7)
 SELECT DISTINCT 'https://maps.example.com' || href AS url, CAST(NULL AS VARCHAR) AS lastmod FROM l
 UNION ALL SELECT 'https://pages.example.com/' || page_id, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') FROM pages WHERE page_id % 10 <> 7"""

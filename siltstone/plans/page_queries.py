@@ -170,7 +170,7 @@ def charset_detect(spark, sf_dir):
     body = (
         F.when(url.startswith("https://"), F.col("html").cast("binary"))
         .when(F.contains(url, F.lit("example.net")), bare.cast("binary"))
-        .otherwise(F.concat(F.encode(ascii_title, "US-ASCII"), F.unhex(F.lit("E9"))))
+        .otherwise(F.concat(F.encode(F.regexp_replace(bare, r"[^\x00-\x7f]", ""), "US-ASCII"), F.unhex(F.lit("E9"))))
     )
     header = F.when(url.endswith(".html"), "text/html; Charset='iso-8859-2'")
     rows = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), ascii_title.alias("plain"), body.alias("body"), header.alias("header"))
