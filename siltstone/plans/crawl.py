@@ -258,6 +258,11 @@ class Crawl:
     # ---------------------------------------------------------------- run
 
     def run(self) -> CrawlResult:
+        """Crawl level by level; documents and state of a level are stored before the next begins.
+
+        A level's documents are one delta of their own, which a repeat of the run replaces. After a
+        crash an incremental run finds the stored levels unchanged and emits only what is missing.
+        """
         c, spark = self.config, self.spark
         stored = tables.read_snapshot(spark, c.state_db)
         empty = spark.createDataFrame([], STATE)
@@ -265,7 +270,8 @@ class Crawl:
         state = prior if c.incremental else empty
         candidates, seen, left = self._seed(), None, c.max_pages
         logs, documents, updates = [], [], []
-        for _ in range(c.max_depth + 1):
+        merged = prior
+        for level in range(c.max_depth + 1):
             gated = materialise(FR.gate(candidates, c), "gated")
             logs.append(gated.filter(F.col("decision").isin("skipped_media", "skipped_scope")).select("url", "decision"))
             frontier = materialise(FR.enqueue(gated, seen), "frontier")
@@ -281,7 +287,8 @@ class Crawl:
             logs += log
             documents.append(docs)
             updates.append(changed)
-            jsonl.append_documents(docs, c.output_dir, self.run_id)
+            jsonl.write_documents(docs, c.output_dir, f"{self.run_id}-{level}")
+            merged = tables.write_snapshot(S.upsert_state(merged, changed), c.state_db)
             seen = materialise(_union([seen, docs.filter("source_type = 'web_page'").select("url")]).distinct(), "seen")
             if left is not None:
                 left -= ready.filter("allowed").count()
@@ -289,10 +296,9 @@ class Crawl:
                 break
             candidates = found
         decisions = materialise(_union(logs), "decisions")
-        merged = S.upsert_state(prior, _union(updates)) if updates else prior
-        return CrawlResult(
-            _union(documents) if documents else None, decisions, tables.write_snapshot(merged, c.state_db), S.crawl_stats(decisions)
-        )
+        if not updates:
+            merged = tables.write_snapshot(prior, c.state_db)
+        return CrawlResult(_union(documents) if documents else None, decisions, merged, S.crawl_stats(decisions))
 
 
 def warn_if_partial(spark: SparkSession, config: CrawlConfig) -> str | None:

@@ -65,9 +65,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).option("mode", "FAILFAST").option("lineSep", "\n").json(_pattern(path, "chunks_"))
 
 
-def append_documents(docs: DataFrame, folder: str, run_id: str) -> None:
-    """Add documents to the delta of a run; keys a document lacks are left out."""
-    docs.write.mode("append").json(f"{folder.rstrip('/')}/documents_{run_id}.jsonl")
+def write_documents(docs: DataFrame, folder: str, delta: str) -> None:
+    """Write the documents of one delta, in place of an earlier attempt; keys a document lacks are left out."""
+    docs.write.mode("overwrite").json(f"{folder.rstrip('/')}/documents_{delta}.jsonl")
 
 
 def write_chunks(chunks: DataFrame, folder: str, run_id: str) -> None:

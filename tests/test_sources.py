@@ -51,7 +51,7 @@ def test_commands_end_to_end(spark, folder, capsys):
     assert main(["search", "alpha", "--index", index, "--top-k", "1"], spark) == 0
     assert '"url": "https://s.com/x/1"' in capsys.readouterr().out
     assert main(["ask", "what is alpha beta", "--index", index, "--trace"], spark) == 0
-    assert '"node": "verification_agent"' in capsys.readouterr().out
+    assert '"node": "check"' in capsys.readouterr().out
     golden = folder / "golden.yaml"
     golden.write_text("- query: alpha beta gamma\n  expected_urls: [https://s.com/x/1]\n- query: nothing\n")
     assert main(["evaluate", "--index", index, "--testset", str(golden), "--skip-ask", "--output", str(folder / "report")], spark) == 0
