@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -17,6 +17,17 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataF
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *others)
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes: texts are long, and a batch stands in memory several times on either side.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.schema[id_col].dataType.simpleString()
 
@@ -25,9 +36,10 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterable[tuple]], sc
     """``fn`` turns an iterator of input rows (tuples) into output rows, Arrow batch by Arrow batch.
 
     ``fn`` is called once per task, so it may keep tables or caches of bounded size. Output is
-    sent on in batches of at most 4,096 rows and about 16 MB.
+    sent on in batches of at most 1,024 rows and about 4 MB.
     """
 
+    small_batches(df.sparkSession)
     target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,7 +48,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterable[tuple]], sc
         for row in fn(_rows(batches)):
             rows.append(row)
             size += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
-            if len(rows) >= 4096 or size > 1 << 24:
+            if len(rows) >= 1024 or size > BATCH_BYTES:
                 yield _batch(rows, target)
                 rows, size = [], 0
         if rows:

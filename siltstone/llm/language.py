@@ -33,7 +33,7 @@ SCRIPT_STARTS = {
 SCRIPTS = sorted(set(SCRIPT_STARTS.values()))
 _STARTS = np.array(sorted(SCRIPT_STARTS))
 _SCRIPT_AT = np.array([SCRIPTS.index(SCRIPT_STARTS[s]) for s in sorted(SCRIPT_STARTS)])
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 
 class Letters:

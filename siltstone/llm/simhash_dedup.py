@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,20 +158,12 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def cell_plan(rows: int, similarity: float, recall: float) -> tuple[int, int]:
-    """Bits per cell and number of cells.
+def _cells(nodes: DataFrame, width: int, number: int) -> DataFrame:
+    """``(cell, order, node)``: a hash of every sample of ``width`` bits of every node's fingerprint.
 
-    Cells have some bits more than the logarithm of the number of rows, so unrelated texts seldom meet in
-    one; there are as many as it takes for two texts at the threshold to meet with probability ``recall``.
+    ``order`` is the fingerprint's beginning, by which similar nodes of a crowded cell stand together.
     """
-    width = max(16, math.ceil(math.log2(max(rows, 2))) + 6)
-    meet = (1 - differing_share(similarity)) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
-
-
-def _cells(nodes: DataFrame, width: int, number: int) -> DataFrame:
-    """``(cell, node)``: a hash of every sample of ``width`` bits of every node's fingerprint."""
-    chosen = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE_BITS), (number, 1)), axis=1)[:, :width]
+    chosen = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE_BITS), (number, 1)), axis=1)[:, :width].copy()
     weights = (1 << np.arange(width, dtype=np.uint64))[:, None]
     salt = np.arange(number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,23 +171,43 @@ def _cells(nodes: DataFrame, width: int, number: int) -> DataFrame:
         for node, words in rows:
             bits = np.unpackbits(np.array(words, dtype="<i8").view(np.uint8))
             keys = mix((bits[chosen].astype(np.uint64) @ weights)[:, 0] + salt)
-            yield node, keys.view(np.int64).tolist()
+            yield node, words[0], keys.view(np.int64).tolist()
+
+    found = map_rows(nodes.select("node", "fingerprint"), run, "node long, order long, cells array<long>")
+    return found.select(F.explode("cells").alias("cell"), "order", "node")
+
+
+def _neighbours(cells: DataFrame) -> DataFrame:
+    """``(a, b)``: nodes next to each other in the order of a cell.
+
+    Rows are dealt by ranges of cell and order, so a cell that holds a third of all rows is spread over
+    tasks; a pair is missed only where a range ends. A cell of n nodes gives n - 1 pairs.
+    """
+    ordered = cells.repartitionByRange("cell", "order").sortWithinPartitions("cell", "order", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, node = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            cell = np.concatenate([cell[-1:], batch.column(0).to_numpy()])
+            node = np.concatenate([node[-1:], batch.column(1).to_numpy()])
+            same = np.flatnonzero((cell[1:] == cell[:-1]) & (node[1:] != node[:-1]))
+            low, high = np.minimum(node[same], node[same + 1]), np.maximum(node[same], node[same + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
-    found = map_rows(nodes.select("node", "fingerprint"), run, "node long, cells array<long>")
-    return found.select(F.explode("cells").alias("cell"), "node")
+    return ordered.select("cell", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_documents(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 24, cells: int = 96, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, component_id)`` per row of ``docs``: groups linked by similar sets of word shingles.
 
     Similarity (Jaccard) is estimated from the differing bits of 1,024-bit fingerprints. Equal
-    fingerprints are one node. Nodes meet in cells, and each is compared with the first node of every
-    cell it shares, so a cell with many members costs one comparison each and never all pairs; the
-    cells are many, and links are transitive. Two texts at the threshold meet with probability
-    ``recall``, closer ones more often. Blank and null texts form one group; null ids name a group
-    only if there is no other.
+    fingerprints are one node. Nodes meet in ``cells`` cells of ``width`` bits each, and each is compared
+    with its neighbours in every cell, so a cell with many members never makes all pairs; links are
+    transitive. With the defaults two texts of similarity 0.8, 0.85, 0.9 share a cell with probability
+    0.84, 0.97, 0.999. Blank and null texts form one group; null ids name a group only if there is no
+    other.
     """
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -204,14 +217,12 @@ def similar_documents(
     prints = materialise(map_rows(texts(docs, id_col, text_col), run, f"id {id_type(docs, id_col)}, fingerprint array<long>"), "fingerprints")
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    cells = materialise(_cells(nodes, *cell_plan(nodes.count(), similarity, recall)), "cells")
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1")
-    pairs = cells.join(shared.select("cell", "low"), "cell").filter("node <> low").select("node", "low").distinct()
+    pairs = _neighbours(materialise(_cells(nodes, width, cells), "cells"))
     a, b = nodes.alias("a"), nodes.alias("b")
-    both = pairs.join(a, F.col("a.node") == pairs.node).join(b, F.col("b.node") == F.col("low"))
+    both = pairs.alias("p").join(a, F.col("a.node") == F.col("p.a")).join(b, F.col("b.node") == F.col("p.b"))
     differing = F.aggregate(F.zip_with("a.fingerprint", "b.fingerprint", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     most = int(WIDE_BITS * differing_share(similarity))
-    links_ = both.filter(differing <= most).select(F.col("low").alias("a"), pairs.node.alias("b"))
+    links_ = both.filter(differing <= most).select("p.a", "p.b")
     grouped = connected_components(links_).join(nodes.select("node", "first"), "node")
     named = grouped.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = grouped.join(named, "root").select("node", "lowest")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import map_rows, texts
+from .common import map_rows, small_batches, texts
 from .words import rolling, word_hashes
 
 GRAM = 8
@@ -163,6 +163,7 @@ def remove_repeats(
     doc = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     source = texts(docs, id_col, text_col, doc.alias("doc")).withColumn("text_key", F.xxhash64("text"))
     found = materialise(passages(source, window), "passages")
+    small_batches(docs.sparkSession)
     rows = source.join(found, "text_key")
     part = F.when(~F.col("whole") & F.col("starts").isNotNull(), F.col("text"))
     rows = rows.withColumn("cut", _cut_column(window)(part, F.col("starts")))
