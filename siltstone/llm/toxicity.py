@@ -111,10 +111,12 @@ def train(
             for start, end in sentences(low):
                 words = set(_TOKEN.findall(low, start, end))
                 bags.append([vocabulary[f] for w in words for f in features(w) if f in vocabulary])
-            yield label, [len(b) for b in bags], [i for b in bags for i in b]
+            sizes, flat = [len(b) for b in bags], [i for b in bags for i in b]
+            yield label, np.array(sizes, "<i4").tobytes(), np.array(flat, "<i4").tobytes()
 
-    bags = map_rows(sample.select("label", "text"), run, "label int, sizes array<int>, words array<int>").toPandas()
-    weights, bias = _fit(bags.label.to_numpy(float), list(bags.sizes), list(bags.words), len(vocabulary), rounds)
+    bags = map_rows(sample.select("label", "text"), run, "label int, sizes binary, words binary").collect()
+    sizes, words = ([np.frombuffer(r[name], "<i4") for r in bags] for name in ("sizes", "words"))
+    weights, bias = _fit(np.array([r.label for r in bags], float), sizes, words, len(vocabulary), rounds)
     return Model({w: float(weights[i]) for w, i in vocabulary.items() if abs(weights[i]) > 1e-3}, float(bias))
 
 
@@ -122,8 +124,8 @@ def _fit(labels: np.ndarray, sizes: list, words: list, n_words: int, rounds: int
     """Adagrad on the mean log loss of the noisy-or, with a small pull of the weights to zero."""
     per_doc = np.array([len(s) for s in sizes])
     doc_of = np.repeat(np.arange(len(labels)), per_doc)
-    sentence_of = np.repeat(np.arange(len(doc_of)), np.concatenate([np.asarray(s, int) for s in sizes if len(s)] or [np.empty(0, int)]))
-    word = np.concatenate([np.asarray(w, int) for w in words if len(w)] or [np.empty(0, int)])
+    sentence_of = np.repeat(np.arange(len(doc_of)), np.concatenate(sizes))
+    word = np.concatenate(words)
     weights, bias = np.zeros(n_words), -4.0
     square, square_bias = np.full(n_words, 1e-8), 1e-8
     balance = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9)) / len(labels)
