@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -45,14 +46,19 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterable[tuple]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for row in fn(_rows(batches)):
-            rows.append(row)
-            size += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
-            if len(rows) >= 1024 or size > BATCH_BYTES:
+        try:
+            for row in fn(_rows(batches)):
+                rows.append(row)
+                size += sum(len(v) for v in row if isinstance(v, (str, bytes, list)))
+                if len(rows) >= 1024 or size > BATCH_BYTES:
+                    yield _batch(rows, target)
+                    rows, size = [], 0
+            if rows:
                 yield _batch(rows, target)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows, target)
+        finally:  # workers live on for other tasks
+            rows.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return map_rows(texts(docs, id_col, text_col, F.monotonically_increasing_id().alias("twin")), run, schema)
 
 
-def _batches(rows: Iterable[tuple], size: int = 1 << 21) -> Iterator[list[tuple]]:
+def _batches(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
     batch, held = [], 0
     for row in rows:
         batch.append(row)

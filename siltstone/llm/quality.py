@@ -160,7 +160,8 @@ def learn(
     share = min(1.0, sample_rows / max(marked.count(), 1))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(1 << 20))
     marked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = materialise(stats.join(marked, "id").withColumn("grow", fold % 3 != 0), "labelled")
+    rows = stats.join(marked, "id").withColumn("grow", fold % 3 != 0)
+    rows = materialise(rows.coalesce(8), "labelled")  # bounded by sample_rows, read once per step
     cuts = _thresholds(rows)
     if not cuts:
         return []
