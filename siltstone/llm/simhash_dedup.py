@@ -7,17 +7,17 @@ embeddings differ by at most r in all, one of r//2+1 blocks differs by at most 1
 stands in its own cell per block, and looks for partners there and in the cells one step up.
 
 A few bits of 64 mean nearly equal texts. Documents that are merely similar differ in so many bits that no
-lower bound prunes; `similar_documents` finds them with wide fingerprints, of which many samples of
-bits are tried as cells, and compares whole fingerprints afterwards.
+lower bound prunes; `similar_documents` finds them by joins on their rarest shingles, without loss, and
+compares the whole sets of shingles afterwards.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,97 +134,186 @@ def near_duplicates(
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-WIDE_BITS = 1024
-_SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
+SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
+BANDS, BAND = 12, 3
+SAMPLE, HOT = 64, 1 << 16
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
-def wide_simhash(text: str | None, shingle: int, bits: int = WIDE_BITS) -> np.ndarray:
-    """``bits`` majority votes of the distinct shingles' hashes, packed in bytes; zero without words."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; fewer words make one shingle, no words none."""
     words = word_hashes((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not len(words):
-        return np.zeros(bits // 8, np.uint8)
-    hashes = np.unique(rolling(words, min(shingle, len(words)), _SHINGLE_BASE))
-    counts = np.zeros((bits // 8, 256), np.int64)
+    return np.unique(rolling(words, min(shingle, len(words)), SHINGLE_BASE)) if len(words) else np.empty(0, np.uint64)
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A signed 64-bit key of a whole set; zero for the empty set."""
+    if not len(hashes):
+        return 0
     with np.errstate(over="ignore"):
-        for word in range(bits // 64):
-            drawn = mix(hashes + np.uint64((word + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
-            for byte in range(8):
-                counts[8 * word + byte] = np.bincount(drawn[:, byte], minlength=256)
-    return np.packbits(2 * (counts @ _BITS) > len(hashes))
+        total = mix(hashes + np.uint64(_GOLDEN)).sum(dtype=np.uint64) + np.uint64(len(hashes))
+    return int(mix(np.array([total])).view(np.int64)[0])
 
 
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two shingle sets with this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def min_cells(hashes: np.ndarray) -> list[int]:
+    """Keys of bands of minima, each over a share of the set; similar sets are likely to have one in common."""
+    lowest = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    np.minimum.at(lowest, (hashes % np.uint64(BANDS * BAND)).astype(np.int64), hashes)
+    with np.errstate(over="ignore"):
+        keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(_GOLDEN)
+        for column in lowest.reshape(BANDS, BAND).T:
+            keys = mix(keys + column)
+    return keys.view(np.int64).tolist()
 
 
-def _cells(nodes: DataFrame, width: int, number: int) -> DataFrame:
-    """``(cell, order, node)``: a hash of every sample of ``width`` bits of every node's fingerprint.
+def prefix_length(n: int, similarity: Fraction) -> int:
+    """Two sets at this similarity share one of so many first members of the larger's ``n``, in any common order."""
+    return n - math.ceil(similarity * n) + 1 if n else 0
 
-    ``order`` is the fingerprint's beginning, by which similar nodes of a crowded cell stand together.
-    """
-    chosen = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE_BITS), (number, 1)), axis=1)[:, :width].copy()
-    weights = (1 << np.arange(width, dtype=np.uint64))[:, None]
-    salt = np.arange(number, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for node, words in rows:
-            bits = np.unpackbits(np.array(words, dtype="<i8").view(np.uint8))
-            keys = mix((bits[chosen].astype(np.uint64) @ weights)[:, 0] + salt)
-            yield node, words[0], keys.view(np.int64).tolist()
+def _filter(wanted: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of signed 64-bit values that accepts all of ``wanted`` and few others (16 bits of a map per value)."""
+    bits = max(1 << 15, 16 * wanted.count())
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
+    whole = np.zeros(bits // 8 + (1 << 13), np.uint8)
+    for row in maps.collect():
+        whole[4096 * (row.number - 1) : 4096 * row.number] = np.frombuffer(row.map, np.uint8)
 
-    found = map_rows(nodes.select("node", "fingerprint"), run, "node long, order long, cells array<long>")
-    return found.select(F.explode("cells").alias("cell"), "order", "node")
+    def accepts(values: np.ndarray) -> np.ndarray:
+        at = values % bits
+        return (whole[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
+    return accepts
 
-def _neighbours(cells: DataFrame) -> DataFrame:
-    """``(a, b)``: nodes next to each other in the order of a cell.
 
-    Rows are dealt by ranges of cell and order, so a cell that holds a third of all rows is spread over
-    tasks; a pair is missed only where a range ends. A cell of n nodes gives n - 1 pairs.
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity.
+
+    Only sets that stand in a pair leave the texts, each once.
+    """
+    pairs = materialise(pairs, "pairs")
+    accepts = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    above, below = similarity.numerator, similarity.denominator
+
+    def sets(rows: Iterable[tuple]) -> Iterator[tuple]:
+        seen: set[int] = set()
+        for (text,) in rows:
+            hashes = shingle_set(text, shingle)
+            node = set_key(hashes)
+            if node not in seen and accepts(np.array([node]))[0]:
+                seen.add(node)
+                yield node, hashes.tobytes()
+                if len(seen) > 1 << 18:
+                    seen.clear()
+
+    def compare(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for a, b, left, right in rows:
+            one, two = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            if below * common >= above * (len(one) + len(two) - common):
+                yield a, b
+
+    found = map_rows(docs.select("text"), sets, "node long, hashes binary")
+    found = materialise(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    a, b = found.select(F.col("node").alias("a"), F.col("hashes").alias("left")), found.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
+    return materialise(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right"), compare, "a long, b long"), "similar")
+
+
+def _prefixes(docs: DataFrame, hot: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """``(node, n, prefix)``: the rarest shingles of every distinct set, as many as the prefix rule needs.
+
+    ``hot`` gives the shingles (``shingle``, ``n``) that stand last in the order; what it lacks only costs time.
     """
-    ordered = cells.repartitionByRange("cell", "order").sortWithinPartitions("cell", "order", "node")
+    known = sorted((r.shingle % (1 << 64), r.n) for r in hot.collect())
+    keys, counts = np.array([k for k, _ in known], np.uint64), np.array([n for _, n in known], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, node = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            cell = np.concatenate([cell[-1:], batch.column(0).to_numpy()])
-            node = np.concatenate([node[-1:], batch.column(1).to_numpy()])
-            same = np.flatnonzero((cell[1:] == cell[:-1]) & (node[1:] != node[:-1]))
-            low, high = np.minimum(node[same], node[same + 1]), np.maximum(node[same], node[same + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for (text,) in rows:
+            hashes = shingle_set(text, shingle)
+            if not len(hashes):
+                continue
+            size = prefix_length(len(hashes), similarity)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                rarest = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))[:size]]
+            else:
+                rarest = hashes[:size]
+            yield set_key(hashes), len(hashes), rarest.view(np.int64).tolist()
+
+    found = map_rows(docs.select("text"), run, "node long, n long, prefix array<long>")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def _candidates(prefixes: DataFrame, similarity: Fraction) -> DataFrame:
+    """``(a, b)``: all pairs of different ``part`` that the prefix rule cannot rule out.
+
+    Shingles whose sets all stand in one part take no part in the join.
+    """
+    posts = prefixes.select("part", F.explode("prefix").alias("shingle"))
+    shared = posts.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle")
+    shared = materialise(shared, "shared")
+    accepts = _filter(shared, "shingle")
 
-    return ordered.select("cell", "node").mapInArrow(run, "a long, b long").distinct()
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for node, part, n, prefix in rows:
+            values = np.array(prefix, np.int64)
+            for at in np.flatnonzero(accepts(values)).tolist():
+                yield node, part, n, at, prefix[at]
+
+    posts = map_rows(prefixes.select("node", "part", "n", "prefix"), run, "node long, part long, n long, at long, shingle long")
+    posts = materialise(posts, "posts")
+    x, y = posts.alias("x"), posts.alias("y")
+    above, below = F.lit(similarity.numerator), F.lit(similarity.denominator)
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    # overlap of at least s / (1 + s) of both sizes; what stands before the first common shingle is not shared
+    near = most * (above + below) >= above * (F.col("x.n") + F.col("y.n"))
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & near
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def similar_documents(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 24, cells: int = 96, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, component_id)`` per row of ``docs``: groups linked by similar sets of word shingles.
 
-    Similarity (Jaccard) is estimated from the differing bits of 1,024-bit fingerprints. Equal
-    fingerprints are one node. Nodes meet in ``cells`` cells of ``width`` bits each, and each is compared
-    with its neighbours in every cell, so a cell with many members never makes all pairs; links are
-    transitive. With the defaults two texts of similarity 0.8, 0.85, 0.9 share a cell with probability
-    0.84, 0.97, 0.999. Blank and null texts form one group; null ids name a group only if there is no
-    other.
+    Two texts link if the Jaccard similarity of their sets is at least ``similarity``, counted on the sets
+    themselves (64-bit hashes of shingles); links are transitive. No pair is lost: a set's rarest shingles
+    are joined, as many as make sure that a similar set has one of them too. Equal sets are one
+    node. Before that, sets that share a band of minima with the band's first set are compared with it, so
+    a large group of near copies is one part by few pairs, and the join only looks for pairs of different
+    parts. Blank and null texts form one group; null ids name a group only if there is no other.
     """
+    least = Fraction(str(similarity))
+    source = texts(docs, id_col, text_col)
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         for key, text in rows:
-            yield key, wide_simhash(text, shingle).view("<i8").tolist()
-
-    prints = materialise(map_rows(texts(docs, id_col, text_col), run, f"id {id_type(docs, id_col)}, fingerprint array<long>"), "fingerprints")
-    nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("first"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = _neighbours(materialise(_cells(nodes, width, cells), "cells"))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    both = pairs.alias("p").join(a, F.col("a.node") == F.col("p.a")).join(b, F.col("b.node") == F.col("p.b"))
-    differing = F.aggregate(F.zip_with("a.fingerprint", "b.fingerprint", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    most = int(WIDE_BITS * differing_share(similarity))
-    links_ = both.filter(differing <= most).select("p.a", "p.b")
+            hashes = shingle_set(text, shingle)
+            node = set_key(hashes)
+            sample = hashes.view(np.int64).tolist() if node % SAMPLE == 0 else None
+            yield key, node, len(hashes), min_cells(hashes) if len(hashes) else [], sample
+
+    schema = f"id {id_type(docs, id_col)}, node long, n long, cells array<long>, sample array<long>"
+    rows = materialise(map_rows(source, run, schema), "rows")
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
+    cells = materialise(nodes.select("node", "n", F.explode("cells").alias("cell")), "cells")
+    stars = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("star"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = cells.join(stars.select("cell", "star"), "cell").filter("node <> star.node")
+    sized = F.least("n", "star.n") * least.denominator >= F.greatest("n", "star.n") * least.numerator
+    pairs = met.filter(sized).select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct()
+    links_ = _verified(source, pairs, shingle, least)
+
+    parts = connected_components(links_)
+    sampled = rows.filter("sample is not null").groupBy("node").agg(F.first("sample").alias("sample"))
+    hot = sampled.select(F.explode("sample").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    hot = hot.orderBy(F.desc("n"), "shingle").limit(HOT)
+    prefixes = _prefixes(source, hot, shingle, least).join(parts.withColumnRenamed("root", "part"), "node", "left")
+    prefixes = materialise(prefixes.select("node", "n", F.coalesce("part", "node").alias("part"), "prefix"), "prefixes")
+    links_ = links_.union(_verified(source, _candidates(prefixes, least), shingle, least))
+
     grouped = connected_components(links_).join(nodes.select("node", "first"), "node")
     named = grouped.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = grouped.join(named, "root").select("node", "lowest")
-    named = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("lowest", "first").alias("component_id"))
-    return prints.join(named, "fingerprint").select("id", "component_id")
+    named = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
+    return rows.select("id", "node").join(named, "node").select("id", "component_id")
