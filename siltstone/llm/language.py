@@ -84,15 +84,19 @@ class Model:
     def __init__(self, languages: list[str], scores: np.ndarray, scripts: np.ndarray, switch: float):
         self.languages, self.scores, self.scripts, self.switch = languages, scores, scripts, switch
 
-    def word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A score per word and language, and the letters of each word."""
+    def word_scores(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A score per word and language, the letters of each word, and whether a learned language uses its script.
+
+        If no language was learned, every word counts as known.
+        """
         buckets, word, script, letters = split_words(text)
-        if not len(letters):
-            return np.empty((0, len(self.languages)), np.float32), letters
+        if not len(letters) or not self.languages:
+            return np.empty((len(letters), len(self.languages)), np.float32), letters, np.ones(len(letters), bool)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         scores = np.add.reduceat(self.scores[buckets], first, axis=0)
         allowed = self.scripts[script]
-        return np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, scores - 1e4), letters
+        known = allowed.any(axis=1)
+        return np.where(allowed | ~known[:, None], scores, scores - 1e4), letters, known
 
     def paths(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best sequence of languages for each text, all texts advancing together."""
@@ -178,7 +182,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         for batch in _batches(rows):
             scored = [model.word_scores(text or "") for _, text in batch]
-            for (key, _), (_, letters), path in zip(batch, scored, model.paths([s for s, _ in scored])):
+            for (key, _), (_, letters, _), path in zip(batch, scored, model.paths([s for s, *_ in scored])):
                 yield key, *_verdict(model, letters, path)
 
     schema = f"id {id_type(docs, id_col)}, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>"
@@ -186,15 +190,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def predicted(model: Model):
-    """A column function of a text: a struct of ``lang_pred`` and ``score`` as in `identify`."""
+    """A column function of a text: a struct of ``lang_pred`` and ``score`` as in `identify`, and ``known``.
+
+    ``known`` is the share of letters in words of a script that a learned language uses; 0 without letters.
+    """
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for batch in _batches((None, text) for text in texts):
             scored = [model.word_scores(text or "") for _, text in batch]
-            rows += [_verdict(model, letters, path)[:2] for (_, letters), path in zip(scored, model.paths([s for s, _ in scored]))]
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
+            for (_, letters, known), path in zip(scored, model.paths([s for s, *_ in scored])):
+                rows.append((*_verdict(model, letters, path)[:2], float(letters[known].sum() / max(letters.sum(), 1))))
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "known"])
 
     return predict
 

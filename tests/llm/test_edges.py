@@ -157,3 +157,19 @@ def test_stages(name, stage, spark, odd, none, labels, tmp_path):
         "substring_repeats": [6, 7, 8, 9, None], "best_fit": [1, 2, 3, 4, 5, 6, 7, 8, 9, None],
     }
     assert found == sorted(wanted[name], key=str)
+
+
+def test_language_stage_without_labels(spark, odd):
+    left = corpus_pipeline.language_id(spark, odd.withColumn("lang", F.lit(None).cast("string")), "")
+    assert {r.doc_id for r in left.collect()} == {1, 2, 6, 8, 9, None}
+
+
+def test_language_stage_keeps_mixed_texts(spark):
+    parts = {"en": "the quick brown fox jumps over the lazy dog", "fr": "le renard rapide saute par dessus le chien", "ru": "быстрая лиса прыгает через ленивую собаку"}
+    rows = [(i, t, lang, "a", len(t)) for i, (lang, t) in enumerate([*parts.items()] * 5)]
+    mixed, greek = f"{parts['en']}. {parts['fr']}. {parts['ru']}", "η γρήγορη καφέ αλεπού πηδά πάνω από το σκυλί"
+    rows += [(100, mixed, None, "a", len(mixed)), (101, greek, None, "a", len(greek)), (102, "12 34", None, "a", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = language.identify(docs, language.train(docs)).filter("id = 100").first()
+    assert found.score < 0.5
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {*range(15), 100}
