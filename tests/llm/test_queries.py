@@ -218,6 +218,18 @@ def test_big_groups_fill_shards_one_by_one(spark):
     assert len(spread["hot"]) <= 5 and np.mean([len(s) == 1 for t, s in spread.items() if t.startswith("pair")]) > 0.97
 
 
+def test_every_text_twice_stays_together(spark):
+    from siltstone.llm import sharding
+
+    rows = [(i, f"text {i % 500}") for i in range(1000)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    spread = collections.defaultdict(set)
+    for r in got:
+        spread[dict(rows)[r.id]].add(r.shard)
+    assert collections.Counter(r.shard for r in got) == {s: 100 for s in range(10)}
+    assert all(len(s) == 1 for s in spread.values())
+
+
 def best_fit(lengths, capacity):
     space = []
     for length in sorted(lengths, reverse=True):
