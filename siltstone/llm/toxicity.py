@@ -69,6 +69,12 @@ def noisy_or(scores: list[float]) -> float:
     return float(-np.expm1(np.sum(np.log1p(-np.minimum(scores, 1 - 1e-12))))) if scores else 0.0
 
 
+def labelled_sample(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` of the rows ``id, text, label``, by a hash of id and text: equal texts are chosen one by one."""
+    share = int(min(1.0, sample_rows / max(rows.select("label").count(), 1)) * (1 << 20))
+    return rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share).drop("id")
+
+
 def train(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -78,7 +84,7 @@ def train(
     max_words: int = 4_096,
     rounds: int = 300,
 ) -> Model:
-    """Fit on about ``sample_rows`` labelled rows (a documented bound), chosen by a hash of the text.
+    """Fit on about ``sample_rows`` labelled rows (a documented bound), chosen by a hash of id and text.
 
     Spark counts in how many positive and negative documents each feature stands and keeps up to
     ``max_words`` features by the weight of evidence (two documents prove nothing). Documents
@@ -86,11 +92,9 @@ def train(
     texts, null labels and labels other than 0 and 1 are left out; with no positive or no negative rows
     the model is empty and scores nothing as toxic.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = rows.filter("text is not null and label in (0, 1)")
-    total = rows.select("label").count()
-    share = int(min(1.0, sample_rows / max(total, 1)) * (1 << 20))
-    sample = materialise(rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share), "toxic-sample")
+    sample = materialise(labelled_sample(rows, sample_rows), "toxic-sample")
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model({}, -30.0)

@@ -173,3 +173,10 @@ def test_language_stage_keeps_mixed_texts(spark):
     found = language.identify(docs, language.train(docs)).filter("id = 100").first()
     assert found.score < 0.5
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {*range(15), 100}
+
+
+def test_toxicity_sample_is_bounded(spark):
+    for hot in ("hot", "other", "third"):
+        rows = spark.range(6000).selectExpr("id", f"if(id % 3 = 0, '{hot}', concat('text ', id)) AS text", "1 AS label")
+        sample = toxicity.labelled_sample(rows, 600).collect()
+        assert 450 < len(sample) < 750 and 120 < sum(r.text == hot for r in sample) < 280
