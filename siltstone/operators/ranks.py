@@ -60,3 +60,21 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Se
     """The row with the largest order columns per key, as a plain aggregate."""
     packed = df.groupBy(*keys).agg(F.max(F.struct(*order, *values)).alias("_last"))
     return packed.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in [*order, *values]])
+
+
+def split_by_match(rows: DataFrame, marks: DataFrame, keys: Sequence[str], count: str = "n", share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """``rows`` joined to ``marks``, and the rows without a mark, whatever share of the rows one key holds.
+
+    ``marks`` is a written table with one row per key (no nulls in ``keys``), and ``count`` says how many rows
+    hold the key. Keys with more than one in ``share`` of all counted rows are fewer than ``share``, so they
+    travel to the rows; all other keys meet in a shuffle in which no key is large. The row without marks of a
+    broadcast key cannot exist, so the second result is an anti join against both.
+    """
+    total = marks.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) > total / share
+    hot, cold = marks.filter(large), marks.filter(~large)
+    if hot.isEmpty():
+        return rows.join(marks, list(keys)), rows.join(marks.select(*keys), list(keys), "left_anti")
+    hot, rest = F.broadcast(hot), rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    met = rows.join(hot, list(keys)).unionByName(rest.join(cold, list(keys)))
+    return met, rest.join(cold.select(*keys), list(keys), "left_anti")
