@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import table
-from . import byte_bpe, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import byte_bpe, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document once repeated 400-byte strings are gone."""
+    found = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), window=400)
+    left = F.coalesce(F.length("kept").cast("long"), F.col("n_bytes"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - left).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"),
+    )
+
+
 SQL["op8_substring_dedup"] = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lists AS (SELECT r, doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
@@ -124,6 +136,27 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
 FROM lists LEFT JOIN kept USING (r)
 """
 
+SQL["op13_suffix_dedup"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+    SELECT r, s, md5(substr(h, (2 * s + 1)::INT, 800)) AS m
+    FROM texts, LATERAL (SELECT unnest(generate_series(0, len(h) // 2 - 400)) AS s)
+),
+twice AS (SELECT m FROM windows GROUP BY m HAVING count(*) > 1),
+starts AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM windows SEMI JOIN twice USING (m)),
+numbered AS (SELECT r, s, count(*) FILTER (WHERE before IS NULL OR before + 400 < s) OVER (PARTITION BY r ORDER BY s) AS k FROM starts),
+runs AS (SELECT r, min(s) AS a, max(s) + 400 AS b FROM numbered GROUP BY r, k),
+gaps AS (
+    SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM runs
+    UNION ALL
+    SELECT r, coalesce(max(b), 0), any_value(len(h) // 2) FROM texts LEFT JOIN runs USING (r) GROUP BY r
+),
+kept AS (SELECT r, string_agg(substr(h, (2 * gaps.a + 1)::INT, (2 * (gaps.b - gaps.a))::INT), '' ORDER BY gaps.a) AS h FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, len(texts.h) // 2 AS n_bytes, (len(texts.h) - len(kept.h)) // 2 AS n_removed,
+       (SELECT count(*) FROM runs WHERE runs.r = texts.r) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM texts JOIN kept USING (r)
+"""
+
 
 def _url_sql(rounds: int) -> str:
     """The URL query in SQL: rules by string comparison, and one pair of steps per round of both walks."""
