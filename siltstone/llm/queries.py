@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import table
-from . import byte_bpe, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import byte_bpe, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all whole, finite vectors: four parts, 256 entries, four rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document once repeated 400-byte strings are gone."""
