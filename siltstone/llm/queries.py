@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import table
-from . import byte_bpe, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes
+from . import byte_bpe, collocations, fingerprints, language, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup, toxicity, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,6 +109,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two and three words per language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 @query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all whole, finite vectors: four parts, 256 entries, four rounds."""
@@ -142,6 +148,39 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
 FROM lists LEFT JOIN kept USING (r)
 """
 
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+),
+places AS (SELECT lang, words, unnest(generate_series(1, len(words))) AS i FROM pieces),
+grams AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i + k - 1] AS words FROM places, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(words)),
+counts AS MATERIALIZED (SELECT lang, k, phrase, any_value(words) AS words, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+parts AS MATERIALIZED (
+    SELECT lang, phrase, k, a, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM counts WHERE k > 1)
+),
+cuts AS (
+    SELECT p.lang, p.phrase, p.k, p.a, j, x.a AS l, y.a AS r, (1000000::HUGEINT * p.a * p.a) // (x.a::HUGEINT * y.a) AS score
+    FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.head JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (
+    SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a AS b FROM counts WHERE k = 3
+),
+covered AS (SELECT DISTINCT lang, phrase FROM lowest JOIN longer USING (lang, phrase) WHERE k = 2 AND 100 * b >= 50 * a),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score::BIGINT AS score
+    FROM lowest ANTI JOIN covered USING (lang, phrase)
+) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
 SQL["op13_suffix_dedup"] = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 windows AS (
