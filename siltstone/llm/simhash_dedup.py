@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import Scope, materialise, scratch
 from .common import id_type, map_rows, texts
 from .components import connected_components
 from .words import mix, rolling, word_hashes
@@ -137,6 +137,8 @@ def near_duplicates(
 SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
 BANDS, BAND = 12, 3
 SAMPLE, HOT = 64, 1 << 16
+#: One in so many members of a set must stand in the prefixes of both, beyond the first.
+SHARED = 10
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -166,9 +168,18 @@ def min_cells(hashes: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def shared_least(n: int) -> int:
+    """How many of the first members two similar sets must share, for the set of ``n`` (the smaller demand counts)."""
+    return 1 + n // SHARED
+
+
 def prefix_length(n: int, similarity: Fraction) -> int:
-    """Two sets at this similarity share one of so many first members of the larger's ``n``, in any common order."""
-    return n - math.ceil(similarity * n) + 1 if n else 0
+    """Two sets at this similarity share ``shared_least`` of so many first members of either, in any common order.
+
+    A set of ``n`` has at most ``n - similarity * n`` members that the other lacks, so among this many first
+    members stand the first ``shared_least`` common ones, and they stand in the other's first members too.
+    """
+    return n - math.ceil(similarity * n) + shared_least(n) if n else 0
 
 
 def _filter(wanted: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
@@ -214,10 +225,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: Fract
             if below * common >= above * (len(one) + len(two) - common):
                 yield a, b
 
-    found = map_rows(docs.select("text"), sets, "node long, hashes binary")
-    found = materialise(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    a, b = found.select(F.col("node").alias("a"), F.col("hashes").alias("left")), found.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    return materialise(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right"), compare, "a long, b long"), "similar")
+    with scratch() as scope:
+        found = map_rows(docs.select("text"), sets, "node long, hashes binary")
+        found = materialise(found.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+        a, b = found.select(F.col("node").alias("a"), F.col("hashes").alias("left")), found.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
+        return scope.keep(map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right"), compare, "a long, b long"), "similar")
 
 
 def _prefixes(docs: DataFrame, hot: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -248,7 +260,8 @@ def _prefixes(docs: DataFrame, hot: DataFrame, shingle: int, similarity: Fractio
 def _candidates(prefixes: DataFrame, similarity: Fraction) -> DataFrame:
     """``(a, b)``: all pairs of different ``part`` that the prefix rule cannot rule out.
 
-    Shingles whose sets all stand in one part take no part in the join.
+    Shingles whose sets all stand in one part take no part in the join. Similar sets share a tenth of a set's
+    size in rare shingles, so a passage that many texts share makes few pairs.
     """
     posts = prefixes.select("part", F.explode("prefix").alias("shingle"))
     shared = posts.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle")
@@ -265,17 +278,24 @@ def _candidates(prefixes: DataFrame, similarity: Fraction) -> DataFrame:
     posts = materialise(posts, "posts")
     x, y = posts.alias("x"), posts.alias("y")
     above, below = F.lit(similarity.numerator), F.lit(similarity.denominator)
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    # overlap of at least s / (1 + s) of both sizes; what stands before the first common shingle is not shared
-    near = most * (above + below) >= above * (F.col("x.n") + F.col("y.n"))
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & near
-    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    sized = F.least("x.n", "y.n") * below >= F.greatest("x.n", "y.n") * above
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & sized
+    met = x.join(y, on).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
+    met = met.agg(F.count(F.lit(1)).alias("shared"), F.min("x.at").alias("ax"), F.min("y.at").alias("ay"))
+    # similar sets have s / (1 + s) of both sizes in common; what stands before the first common shingle is not
+    # shared, and of a prefix all are shared but as many as the whole set may lack
+    overlap = F.ceil((F.col("nx") + F.col("ny")) * above / (above + below))
+    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    spare = [F.floor(F.col(n) / SHARED) + 1 - F.ceil(F.col(n) * above / below) for n in ("nx", "ny")]  # prefix less whole
+    near = (F.col("shared") >= overlap + F.least(*spare)) & (most >= overlap)
+    return met.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_documents(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``(id, component_id)`` per row of ``docs``: groups linked by similar sets of word shingles.
+    """``(id, component_id)`` per row of ``docs``: groups linked by similar sets of word shingles. Repeated rows share
+    their set's group; an empty table gives an empty one.
 
     Two texts link if the Jaccard similarity of their sets is at least ``similarity``, counted on the sets
     themselves (64-bit hashes of shingles); links are transitive. No pair is lost: a set's rarest shingles
@@ -295,7 +315,12 @@ def similar_documents(
             yield key, node, len(hashes), min_cells(hashes) if len(hashes) else [], sample
 
     schema = f"id {id_type(docs, id_col)}, node long, n long, cells array<long>, sample array<long>"
-    rows = materialise(map_rows(source, run, schema), "rows")
+    with scratch() as scope:
+        return scope.keep(_grouped(source, materialise(map_rows(source, run, schema), "rows"), shingle, least, scope), "similar-documents")
+
+
+def _grouped(source: DataFrame, rows: DataFrame, shingle: int, least: Fraction, scope: Scope) -> DataFrame:
+    """Every row's group from its node, its minima and the samples; ``scope`` owns what is written on the way."""
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
     cells = materialise(nodes.select("node", "n", F.explode("cells").alias("cell")), "cells")
     stars = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("star"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -303,6 +328,7 @@ def similar_documents(
     sized = F.least("n", "star.n") * least.denominator >= F.greatest("n", "star.n") * least.numerator
     pairs = met.filter(sized).select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct()
     links_ = _verified(source, pairs, shingle, least)
+    scope.drop(cells)
 
     parts = connected_components(links_)
     sampled = rows.filter("sample is not null").groupBy("node").agg(F.first("sample").alias("sample"))
