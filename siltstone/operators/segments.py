@@ -41,22 +41,16 @@ class Load:
     merged: list[str] = field(default_factory=list)
 
 
-def term_counts(rows: DataFrame, terms: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: the distinct terms of the array ``terms`` and their counts, without a shuffle.
+def term_counts(ordered: str) -> Column:
+    """Distinct terms and their counts of a column that holds sorted terms, inside the row.
 
-    The array is sorted in its row; a term's count is the distance from its first place to the next term's.
+    The column must be stored: an expression in its place would be sorted again for every element.
     """
-    ordered, places = f"_{out}_ordered", f"_{out}_places"
-    rows = rows.withColumn(ordered, F.array_sort(terms))
     n = F.size(ordered)
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(every, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    rows = rows.withColumn(places, begins)
-    entry = F.transform(
-        places,
-        lambda at, j: F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(places, j + 1), F.size(ordered)) - at).alias("tf")),
-    )
-    return rows.withColumn(out, entry).drop(ordered, places)
+    ends = F.filter(every, lambda i: (i == n - 1) | (F.get(ordered, i) != F.get(ordered, i + 1)))
+    return F.zip_with(begins, ends, lambda b, e: F.struct(F.get(ordered, b).alias("term"), (e - b + 1).alias("tf")))
 
 
 def _saturation(tf: Column | str, dl: Column | str) -> Column:
@@ -123,17 +117,19 @@ class SegmentedIndex:
 
     # -------------------------------------------------------------- writing
 
-    def _forward(self, docs: DataFrame) -> DataFrame:
+    def _terms(self, docs: DataFrame) -> DataFrame:
+        """``doc_id``, the row's place, and the sorted terms of every field."""
+        terms = [F.sort_array(self.analyze(F.col(f))).alias(f"t{i}") for i, f in enumerate(self.fields)]
+        return docs.select(F.col(self.doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("place"), *terms)
+
+    def _forward(self, terms: DataFrame) -> DataFrame:
         """One row per document: ``doc_id, total, fields`` (name, length, term counts)."""
-        rows = docs.select(F.col(self.doc_id).alias("doc_id"), *[self.analyze(F.col(f)).alias(f"t{i}") for i, f in enumerate(self.fields)])
-        for i in range(len(self.fields)):
-            rows = term_counts(rows, f"t{i}", f"e{i}")
+        length = [F.greatest(F.size(f"t{i}"), F.lit(0)) for i in range(len(self.fields))]
+        length = [F.coalesce(n, F.lit(0)) for n in length]
         packed = [
-            F.struct(F.lit(f).alias("field"), F.coalesce(F.size(f"t{i}"), F.lit(0)).alias("dl"), F.col(f"e{i}").alias("entries"))
-            for i, f in enumerate(self.fields)
+            F.struct(F.lit(f).alias("field"), length[i].alias("dl"), term_counts(f"t{i}").alias("entries")) for i, f in enumerate(self.fields)
         ]
-        total = sum((F.coalesce(F.size(f"t{i}"), F.lit(0)) for i in range(len(self.fields))), F.lit(0))
-        return rows.select("doc_id", total.alias("total"), F.array(*packed).alias("fields"))
+        return terms.select("doc_id", sum(length, F.lit(0)).alias("total"), F.array(*packed).alias("fields"))
 
     def _write(self, forward: DataFrame, segment: str) -> int:
         """A segment from forward rows; returns its number of documents."""
@@ -179,11 +175,11 @@ class SegmentedIndex:
         both deleted and loaded is loaded. Texts of other documents are neither read nor written.
         """
         with scratch():
-            rows = materialise(docs.select(self.doc_id, *self.fields).withColumn("_at", F.monotonically_increasing_id()), "incoming")
-            named = rows.filter(F.col(self.doc_id).isNotNull())
-            last = named.groupBy(self.doc_id).agg(F.max("_at").alias("_at"))
+            rows = materialise(self._terms(docs), "incoming")
+            named = rows.filter(F.col("doc_id").isNotNull())
+            last = named.groupBy("doc_id").agg(F.max("place").alias("place"))
             rejected = rows.count() - named.count()
-            forward = materialise(self._forward(named.join(last, [self.doc_id, "_at"], "left_semi")), "forward")
+            forward = materialise(self._forward(named.join(last, ["doc_id", "place"], "left_semi")), "forward")
             touched = forward.select("doc_id")
             if deleted is not None:
                 touched = touched.unionByName(deleted.select(F.col(self.doc_id).alias("doc_id"))).distinct()
