@@ -36,6 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> dict[str, Query]:
     """Import every query module and return the registry."""
     from . import answer_queries, crawl_queries, history_queries, page_queries, report_queries  # noqa: F401
-    from . import search_queries, segment_queries, state_queries, stream_queries, url_queries, window_queries  # noqa: F401
+    from . import search_queries, segment_queries, state_queries, stream_queries, url_queries, vector_queries, window_queries  # noqa: F401
 
     return QUERIES
