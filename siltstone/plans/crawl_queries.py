@@ -10,7 +10,7 @@ from ..functions import http as X
 from ..functions import urls as U
 from ..operators import frontier as FR
 from ..operators import sitemaps as SM
-from ..session import materialise
+from ..session import materialise, shared_path
 from .catalog import query, table
 from .page_queries import SQL_MAIN
 from .url_queries import SQL_IS_DOCUMENT, SQL_LINKS, SQL_MEDIA, SQL_MEDIA_TYPE, SQL_RESPONSES, page_links, responses, sql_canonical, sql_host
@@ -157,6 +157,26 @@ def politeness_slots(spark, sf_dir):
     return FR.request_slots(pages, delays, 1.0).select("url", "host", "slot", "start_at")
 
 
+@query(
+    f"""WITH p AS (SELECT page_id, url, {sql_host('url')} AS host, CAST(length(url) % 3 AS INTEGER) AS depth FROM pages)
+SELECT url, host, CASE WHEN host LIKE 'www.%' THEN 2.5 ELSE 1.0 END
+  * (row_number() OVER (PARTITION BY host ORDER BY depth, substr(md5(url), 1, 3), url) - 1)::DOUBLE AS start_at FROM p"""
+)
+def stream_politeness(spark, sf_dir):
+    """The same start times from a stream: each depth arrives by itself, and the stream goes on from its checkpoint."""
+    from ..streaming import scheduler as SC
+
+    pages = table(spark, sf_dir, "pages").select("url", (F.length("url") % 3).alias("depth"), F.lit(0.0).alias("asked_at"))
+    hosts = pages.select(U.url_host("url").alias("host")).distinct()
+    delays = materialise(hosts.withColumn("crawl_delay", F.when(F.col("host").startswith("www."), 2.5).otherwise(0.5)), "delays")
+    path = shared_path(spark, "schedule")
+    for depth in range(3):
+        pages.filter(F.col("depth") == depth).write.mode("append").parquet(f"{path}/feed")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{path}/feed")
+        SC.schedule_stream(stream, delays, path, f"{path}/checkpoint", 1.0).awaitTermination()
+    return SC.scheduled(spark, path).select("url", "host", "start_at")
+
+
 def robots_files(spark, sf_dir):
     """One robots.txt per host, derived from the host's name."""
     host = F.col("host")
@@ -201,9 +221,9 @@ def sitemap_files(spark, sf_dir):
     entry = lambda tag, loc, mod="": F.concat(F.lit(f"<{tag}><loc> "), loc, F.lit(" </loc>"), F.lit(mod) if isinstance(mod, str) else mod, F.lit(f"</{tag}>"))
     mod = F.concat(F.lit("<lastmod>2024-01-"), F.lpad((pid % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))
     pages = table(spark, sf_dir, "pages").select("page_id", U.canonical_url("url").alias("u"), H.html_hrefs("html").alias("hrefs"))
-    plain = F.filter("hrefs", lambda h: h.rlike("^/[A-Za-z]+$"))
+    escaped = lambda h: F.replace(F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     body = F.concat(
-        F.lit(ns.format("urlset")), F.array_join(F.transform(plain, lambda h: entry("url", h)), ""),
+        F.lit(ns.format("urlset")), F.array_join(F.transform("hrefs", lambda h: entry("url", escaped(h))), ""),
         entry("url", F.concat(F.lit("https://pages.example.com/"), pid.cast("string")), mod), F.when(pid % 10 == 7, "").otherwise("</urlset>"),
     )
     index = F.concat(F.lit(ns.format("sitemapindex")), entry("sitemap", name("set", pid)), entry("sitemap", name("set", pid + 1)), F.lit("</sitemapindex>"))
@@ -212,9 +232,10 @@ def sitemap_files(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda h: regexp_matches(h, '^/[A-Za-z]+$')))) AS href
-   FROM pages WHERE page_id % 10 <> 7)
-SELECT DISTINCT 'https://maps.example.com' || href AS url, CAST(NULL AS VARCHAR) AS lastmod FROM l
+    "WITH " + SQL_LINKS + """, l AS (SELECT CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN href LIKE '//%' THEN 'https:' || href
+   WHEN href LIKE '/%' THEN 'https://maps.example.com' || href ELSE 'https://maps.example.com/' || href END AS u FROM links WHERE page_id % 10 <> 7), """
+    + sql_canonical("l", "c")
+    + """ SELECT DISTINCT canon AS url, CAST(NULL AS VARCHAR) AS lastmod FROM c WHERE canon IS NOT NULL
 UNION ALL SELECT 'https://pages.example.com/' || page_id, '2024-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') FROM pages WHERE page_id % 10 <> 7"""
 )
 def sitemap_discover(spark, sf_dir):
