@@ -28,7 +28,7 @@ SCRIPT_STARTS = {
     0x2C80: "other", 0x3040: "kana", 0x3100: "other", 0x3130: "hangul", 0x3190: "other", 0x31F0: "kana", 0x3200: "other",
     0x3400: "han", 0xA000: "other", 0xA720: "latin", 0xA800: "other", 0xAC00: "hangul", 0xD800: "other", 0xF900: "han",
     0xFB00: "latin", 0xFB1D: "hebrew", 0xFB50: "arabic", 0xFE00: "other", 0xFE70: "arabic", 0xFF00: "latin",
-    0xFF66: "kana", 0xFFA0: "hangul", 0xFFE0: "other", 0x20000: "han", 0x32000: "other",
+    0xFF66: "kana", 0xFFA0: "hangul", 0xFFE0: "other", 0x20000: "han", 0x33480: "other",
 }
 SCRIPTS = sorted(set(SCRIPT_STARTS.values()))
 _STARTS = np.array(sorted(SCRIPT_STARTS))
@@ -37,35 +37,39 @@ BATCH_CHARS = 1 << 21
 
 
 class Letters:
-    """Lower case, letter flags and scripts of all code points, built once per process."""
+    """Lower case, letter flags, mark flags and scripts of all code points, built once per process."""
 
-    _made: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    _made: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
-    def tables(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tables(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if cls._made is None:
             points = np.arange(0x110000, dtype=np.uint32)
-            lower, letter = points.copy(), np.zeros(0x110000, bool)
-            for point in range(0x32000):
+            lower, letter, mark = points.copy(), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+            for point in range(0x110000):
                 char = chr(point)
-                if unicodedata.category(char)[0] == "L":
+                kind = unicodedata.category(char)[0]
+                mark[point] = kind == "M"
+                if kind == "L":
                     letter[point] = True
                     low = char.lower()
                     lower[point] = ord(low) if len(low) == 1 else point
             script = _SCRIPT_AT[np.searchsorted(_STARTS, points, side="right") - 1].astype(np.int8)
-            cls._made = lower, letter, script
+            cls._made = lower, letter, mark, script
         return cls._made
 
 
 def split_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(buckets, word of each bucket, script per word, letters per word)`` of a text's words.
 
-    A word is a run of letters. Its trigrams include a mark before and after it.
+    A word is a run of letters, each with the combining marks after it. Its trigrams include a boundary before and after it.
     """
-    lower, letter, script = Letters.tables()
+    lower, letter, mark, script = Letters.tables()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = np.zeros(len(points) + 2, bool)
-    inside[1:-1] = letter[points]
+    marks = mark[points]
+    base = np.maximum.accumulate(np.where(marks, 0, np.arange(len(points)))) if len(points) else np.zeros(0, np.int64)
+    inside[1:-1] = letter[points] | (marks & letter[points[base]])
     chars = np.zeros(len(points) + 2, np.uint64)
     chars[1:-1] = np.where(inside[1:-1], lower[points], 0)
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1

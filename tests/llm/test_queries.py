@@ -356,3 +356,34 @@ def test_pipeline(spark):
     shingles = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
     near = [(a, b) for a, b in itertools.combinations(sorted(kept), 2) if len(shingles[a] & shingles[b]) >= 0.9 * len(shingles[a] | shingles[b])]
     assert near == []
+
+
+def test_words_are_letters_with_their_marks():
+    import unicodedata
+
+    from siltstone.llm import language
+
+    texts = ["", "́", "1́ b", " ́x", "été la", "हिन्दी भाषा, क्षत्रिय", chr(0x32001) * 3, "a" + chr(0x323AF) + "́̂ 9z"]
+    for text in texts:
+        words, open_word = [], False
+        for char in text:
+            kind = unicodedata.category(char)[0]
+            if kind == "L":
+                if open_word:
+                    words[-1] += 1
+                else:
+                    words.append(1)
+                open_word = True
+            elif kind == "M" and open_word:
+                words[-1] += 1
+            else:
+                open_word = False
+        assert language.split_words(text)[3].tolist() == words, text
+
+
+def test_rare_letters_are_a_language_too(spark):
+    from siltstone.llm import language
+
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, chr(0x32001) * 3, None), (4, "̃ 12", None)], "doc_id long, text string, lang string")
+    found = {r.id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
+    assert found[1] == "en" and found[2] == "fr" and found[3] in ("en", "fr") and found[4] == "und"
