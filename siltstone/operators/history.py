@@ -63,8 +63,8 @@ def as_of_join(
     order = Window.partitionBy(*keys, "_cell").orderBy(F.col(at), F.col("_event").isNotNull(), F.col("_tie"))
     local = F.last("_version", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = rows.withColumn("_local", local).filter("_event IS NOT NULL").select(*keys, "_cell", "_event", "_local")
-    same = [found[k].eqNullSafe(carried[k]) for k in [*keys, "_cell"]]
-    joined = found.join(carried, same, "left")
+    # plain equality, so the window's partitioning serves the join: no version has a null key or time
+    joined = found.join(carried, [*keys, "_cell"], "left")
     live = F.coalesce("_local", "_carried").alias("_live")
     return joined.select("_event", live).select("_event.*", *[F.col(f"_live.{v}").alias(v) for v in values])
 
