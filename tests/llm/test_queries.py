@@ -97,17 +97,17 @@ def test_link_graph(spark):
     html = {n: "".join(f'<a class=x HREF="//{b}/p">t</a>' * w for a, b, w in links if a == n) + '<a href="/own">o</a>' for n in names}
     pages = spark.createDataFrame([(i, f"https://{n.upper()}/q", html[n]) for i, n in enumerate(names)], "page_id long, url string, html string")
     rules = spark.createDataFrame([("good.a", "/", "allow"), ("spam.c", "/", "block")], "rule_host string, rule_path string, verdict string")
-    got = {r.host: r for r in url_filter.filter_urls(pages, rules).collect()}
+    got = {r.host: r for r in url_filter.filter_urls(pages, rules, shared_paths=False).collect()}
 
     def ranks(seed, edges):
         out = collections.Counter()
         for a, _, w in edges:
             out[a] += w
-        rank = {n: 0.15 * seed.get(n, 0) for n in names}
-        for _ in range(20):
-            new = {n: 0.15 * seed.get(n, 0) for n in names}
+        rank = {n: 0.5 * seed.get(n, 0) for n in names}
+        for _ in range(100):
+            new = {n: 0.5 * seed.get(n, 0) for n in names}
             for a, b, w in edges:
-                new[b] += 0.85 * rank[a] * w / out[a]
+                new[b] += 0.5 * rank[a] * w / out[a]
             rank = new
         return rank
 
@@ -121,10 +121,49 @@ def test_link_graph(spark):
     assert {n: r.verdict for n, r in got.items()} == {
         "good.a": "allow", "near.b": "allow", "spam.c": "block", "buyer.d": "allow", "far.e": "allow", "lone.f": "allow",
     }
-    strict = {r.host: r.verdict for r in url_filter.filter_urls(pages, rules, block_share=0.3).collect()}
+    strict = {r.host: r.verdict for r in url_filter.filter_urls(pages, rules, block_share=0.2, shared_paths=False).collect()}
     assert strict["buyer.d"] == "block" and strict["near.b"] == "allow"
 
 
+def test_hosts_meet_at_shared_paths(spark):
+    paths = {"good.a": ["/x", "/menu"], "twin.b": ["/x", "/x?y", "/menu"], "bad.c": ["/z", "/menu"], "like.d": ["/z#t", "/menu"], "lone.e": ["/own", "//", "/"]}
+    rows = [(i, f"https://{h}/q", "".join(f"<a href={p}>t</a>" for p in ps)) for i, (h, ps) in enumerate(paths.items())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("good.a", "/", "allow"), ("bad.c", "/", "block")], "rule_host string, rule_path string, verdict string")
+    got = {r.host: r for r in url_filter.filter_urls(pages, rules).collect()}
+
+    counts = collections.Counter((h, p.partition("?")[0].partition("#")[0]) for h, ps in paths.items() for p in ps)
+    linking = collections.Counter(p for _, p in counts)
+    edges = {(h, p): n / linking[p] for (h, p), n in counts.items() if linking[p] > 1}
+    edges.update({(p, h): w for (h, p), w in edges.items()})
+    out = collections.Counter()
+    for (a, _), w in edges.items():
+        out[a] += w
+
+    def ranks(seed):
+        rank = collections.Counter()
+        for _ in range(100):
+            new = collections.Counter({h: 0.5 * s for h, s in seed.items()})
+            for (a, b), w in edges.items():
+                new[b] += 0.5 * rank[a] * w / out[a]
+            rank = new
+        return rank
+
+    trust, distrust, standing = ranks({"good.a": 1}), ranks({"bad.c": 1}), ranks(dict.fromkeys(paths, 1))
+    for h in paths:
+        assert (got[h].trust, got[h].distrust) == (pytest.approx(trust[h] / standing[h], abs=2e-6), pytest.approx(distrust[h] / standing[h], abs=2e-6))
+    assert got["twin.b"].trust > got["twin.b"].distrust > 0 and got["like.d"].distrust > got["like.d"].trust > 0
+    assert (got["lone.e"].trust, got["lone.e"].distrust) == (0, 0)
+
+
+def test_neighbours_count_on_the_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
+    alone, met = ({r.id: r for r in url_filter.filter_urls(pages, rules, shared_paths=s).collect()} for s in (False, True))
+    assert all(r.verdict == alone[i].verdict for i, r in met.items() if r.rule)
+    assert any(abs(r.distrust - alone[i].distrust) > 0.01 for i, r in met.items() if not r.rule)
+
+
 def base_counts(text):
     words = text.encode().split()
     lines, seen, dup = [line for line in text.split("\n") if line.encode().split()], set(), 0
