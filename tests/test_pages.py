@@ -128,3 +128,11 @@ def test_scripts_do_not_make_main_content():
     assert "body text" in page["raw_text"]
     same = "words " * 60
     assert H.parse_page(f"<body><article>{same}first</article><main>{same}other</main></body>")["raw_text"].endswith("other")
+
+
+@pytest.mark.parametrize("cut, text", [
+    ("a &amp;&amp;&amp", "a &&&amp"), ("a &ampb; &am &copy", "a &ampb; &am &copy"), ("&copy; &#39; &eacute; &#x41; &nosuch; &", "© ' é A &nosuch; &"),
+])
+def test_only_whole_references_stand_for_characters(cut, text):
+    fields = H.parse_page(f"<title>{cut}</title><body><h1>{cut}</h1><a href='/?a=1&copy=2&amp;b=3'>x</a>")
+    assert (fields["title"], fields["headings"], fields["hrefs"]) == (text, [text], ["/?a=1&copy=2&b=3"])
