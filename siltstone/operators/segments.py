@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import index_terms
 from ..session import materialise, scratch
 from .ranks import top_k_per
-from .search import FIELD_BOOSTS, K1, Analyzer, B, _bucket, query_terms
+from .search import FIELD_BOOSTS, K1, Analyzer, B, _bucket, query_terms, term_counts
 
 RANGE_BITS = 6
 RANGE = 1 << RANGE_BITS
@@ -41,18 +41,6 @@ class Load:
     merged: list[str] = field(default_factory=list)
 
 
-def term_counts(ordered: str) -> Column:
-    """Distinct terms and their counts of a column that holds sorted terms, inside the row.
-
-    The column must be stored: an expression in its place would be sorted again for every element.
-    """
-    n = F.size(ordered)
-    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    begins = F.filter(every, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    ends = F.filter(every, lambda i: (i == n - 1) | (F.get(ordered, i) != F.get(ordered, i + 1)))
-    return F.zip_with(begins, ends, lambda b, e: F.struct(F.get(ordered, b).alias("term"), (e - b + 1).alias("tf")))
-
-
 def _saturation(tf: Column | str, dl: Column | str) -> Column:
     tf, dl = (F.col(c) if isinstance(c, str) else c for c in (tf, dl))
     return tf / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))
