@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from ..session import small_batches
 from .binding import let
 from .text import index_terms
 
@@ -70,6 +71,7 @@ def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
     A real model is injected as a ``pandas_udf`` with the same signature
     (text column in, unit ``array<double>`` out).
     """
+    small_batches(SparkSession.getActiveSession())
     return _unit_counts(dim)(F.transform(index_terms(text), lambda t: term_bucket(t, dim)))
 
 

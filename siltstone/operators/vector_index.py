@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import dot, doubles
-from ..session import materialise
+from ..session import materialise, small_batches
 from .ranks import top_k_per
 
 ENTRIES = 256  # one byte per part
@@ -30,7 +30,7 @@ HELD = 2_000  # queries whose best candidates a task keeps before it passes them
 
 def _nearest(points: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     apart = (centres**2).sum(axis=1) - 2 * points @ centres.T
-    return np.argsort(apart, axis=1, kind="stable")[:, :n]
+    return np.argmin(apart, axis=1)[:, None] if n == 1 else np.argsort(apart, axis=1, kind="stable")[:, :n]
 
 
 def _lloyd(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -40,8 +40,7 @@ def _lloyd(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         of = _nearest(points, centres)[:, 0]
         counts = np.bincount(of, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, points)
+        sums = np.stack([np.bincount(of, column, len(centres)) for column in points.T], axis=1)
         used = counts > 0
         centres[used] = sums[used] / counts[used, None]
     return centres
@@ -138,6 +137,7 @@ class VectorIndex:
 
     def add(self, vectors: DataFrame, load: int) -> VectorIndex:
         """Code ``vectors`` (``doc_id, embedding``) as load ``load``; a load that is there already is replaced."""
+        small_batches(self.spark)
         model = self.model()
         key = vectors.schema["doc_id"].dataType
         arrow_key = to_arrow_type(key)
@@ -175,6 +175,7 @@ class VectorIndex:
 
     def candidates(self, queries: DataFrame, n: int, probes: int) -> DataFrame:
         """``query_id, doc_id, score, rank``: the ``n`` best by codes among the ``probes`` nearest cells of each query."""
+        small_batches(self.spark)
         model = self.model()
         query_type = queries.schema["query_id"].dataType
         blocks = self.spark.read.parquet(f"{self.path}/codes")
@@ -209,7 +210,8 @@ class VectorIndex:
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow_query, arrow_doc, pa.float64()))], names=["query_id", "doc_id", "score"])
 
             for batch in batches:
-                for cell, ids, codes, qids, points in zip(*[c.to_pylist() for c in batch.columns]):
+                # one pair of blocks at a time: the pairs of a batch hold their blocks many times over
+                for cell, ids, codes, qids, points in ([c[at].as_py() for c in batch.columns] for at in range(batch.num_rows)):
                     coded = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
                     scores = model.look_up(np.frombuffer(points).reshape(len(qids), -1), cell, coded)
                     for qid, row in zip(qids, scores):

@@ -136,3 +136,10 @@ def test_scripts_do_not_make_main_content():
 def test_only_whole_references_stand_for_characters(cut, text):
     fields = H.parse_page(f"<title>{cut}</title><body><h1>{cut}</h1><a href='/?a=1&copy=2&amp;b=3'>x</a>")
     assert (fields["title"], fields["headings"], fields["hrefs"]) == (text, [text], ["/?a=1&copy=2&b=3"])
+
+
+def test_pages_are_parsed_once_in_small_batches(spark):
+    pages = spark.createDataFrame([(PAGE, "https://h.com/")], "html string, url string").withColumn("p", H.parsed_page("html"))
+    links = pages.select(F.explode(H.page_columns(F.col("p"), F.col("url"))["links"]).alias("link"))
+    assert links._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20

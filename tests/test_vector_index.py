@@ -52,3 +52,14 @@ def test_all_cells_and_candidates_are_exact_whatever_the_splits(spark, points, t
 def test_nothing_to_fit(spark, points):
     with pytest.raises(ValueError):
         fit(points.filter("doc_id > 999 AND doc_id <> 1001"), cells=2)
+
+
+def test_fitting_does_not_sort_all_entries_for_the_nearest_one(monkeypatch):
+    import numpy as np
+    from siltstone.operators import vector_index as X
+
+    points = np.random.default_rng(3).integers(0, 4, (500, 8)).astype(float)
+    centres = points[:40]
+    apart = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+    monkeypatch.setattr(np, "argsort", None)
+    assert (X._nearest(points, centres)[:, 0] == apart.argmin(axis=1)).all()
