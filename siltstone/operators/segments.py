@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import index_terms
 from ..session import materialise, scratch
 from .ranks import top_k_per
@@ -105,19 +106,18 @@ class SegmentedIndex:
 
     # -------------------------------------------------------------- writing
 
-    def _terms(self, docs: DataFrame) -> DataFrame:
-        """``doc_id``, the row's place, and the sorted terms of every field."""
-        terms = [F.sort_array(self.analyze(F.col(f))).alias(f"t{i}") for i, f in enumerate(self.fields)]
-        return docs.select(F.col(self.doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("place"), *terms)
+    def _forward(self, docs: DataFrame) -> DataFrame:
+        """One row per document: ``doc_id``, the row's place, ``total, fields`` (name, length, term counts)."""
 
-    def _forward(self, terms: DataFrame) -> DataFrame:
-        """One row per document: ``doc_id, total, fields`` (name, length, term counts)."""
-        length = [F.greatest(F.size(f"t{i}"), F.lit(0)) for i in range(len(self.fields))]
-        length = [F.coalesce(n, F.lit(0)) for n in length]
-        packed = [
-            F.struct(F.lit(f).alias("field"), length[i].alias("dl"), term_counts(f"t{i}").alias("entries")) for i, f in enumerate(self.fields)
-        ]
-        return terms.select("doc_id", sum(length, F.lit(0)).alias("total"), F.array(*packed).alias("fields"))
+        def counted(name: str) -> Column:
+            return let(F.sort_array(self.analyze(F.col(name))), lambda t: F.struct(
+                F.lit(name).alias("field"), F.coalesce(F.greatest(F.size(t), F.lit(0)), F.lit(0)).alias("dl"), term_counts(t).alias("entries")
+            ))
+
+        rows = docs.select(
+            F.col(self.doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("place"), F.array(*[counted(f) for f in self.fields]).alias("fields")
+        )
+        return rows.withColumn("total", F.aggregate("fields", F.lit(0), lambda n, f: n + f["dl"])).select("doc_id", "place", "total", "fields")
 
     def _write(self, forward: DataFrame, segment: str) -> int:
         """A segment from forward rows; returns its number of documents."""
@@ -129,15 +129,17 @@ class SegmentedIndex:
         lengths = flat.filter(F.col("dl") > 0).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("sum_dl"))
         self._append(lengths.withColumn("segment", F.lit(segment)), "fields", "segment")
         posts = flat.select("doc_id", "range", "field", "dl", F.inline("entries"))
-        blocks = posts.groupBy("field", "term", "range").agg(
+        # Postings move once: to the place where their block is made and written.
+        placed = posts.withColumn("bucket", _bucket("term")).withColumn("spread", F.pmod(F.xxhash64("range"), F.lit(8)))
+        blocks = placed.repartition("bucket", "spread").groupBy("bucket", "spread", "field", "term", "range").agg(
             F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"),
             F.collect_list(F.struct("doc_id", "tf", "dl")).alias("entries"),  # RANGE documents at most
         )
-        placed = blocks.withColumn("bucket", _bucket("term")).withColumn("segment", F.lit(segment))
-        placed = placed.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(8))).sortWithinPartitions("bucket", "term", "field", "range")
-        self._append(placed, "blocks", "segment", "bucket")
-        terms = self._read("blocks", [segment]).groupBy("bucket", "field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
-        terms = terms.withColumn("segment", F.lit(segment)).repartition("bucket").sortWithinPartitions("bucket", "term")
+        laid = blocks.drop("spread").withColumn("segment", F.lit(segment)).sortWithinPartitions("bucket", "term", "field", "range")
+        self._append(laid, "blocks", "segment", "bucket")
+        counts = self._read("blocks", [segment]).select("bucket", "field", "term", "n", "cf").repartition("bucket")
+        terms = counts.groupBy("bucket", "field", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+        terms = terms.withColumn("segment", F.lit(segment)).sortWithinPartitions("bucket", "term")
         self._append(terms, "terms", "segment", "bucket")
         return stored.count()
 
@@ -163,11 +165,13 @@ class SegmentedIndex:
         both deleted and loaded is loaded. Texts of other documents are neither read nor written.
         """
         with scratch():
-            rows = materialise(self._terms(docs), "incoming")
-            named = rows.filter(F.col("doc_id").isNotNull())
-            last = named.groupBy("doc_id").agg(F.max("place").alias("place"))
-            rejected = rows.count() - named.count()
-            forward = materialise(self._forward(named.join(last, ["doc_id", "place"], "left_semi")), "forward")
+            rows = materialise(self._forward(docs), "incoming")
+            forward = rows.filter(F.col("doc_id").isNotNull())
+            rejected = rows.count() - forward.count()
+            last = forward.groupBy("doc_id").agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+            if not last.isEmpty():  # only ids that repeat meet their last row
+                forward = forward.join(last.select("doc_id", "last"), "doc_id", "left").filter("last IS NULL OR place = last").drop("last")
+            forward = forward.drop("place")
             touched = forward.select("doc_id")
             if deleted is not None:
                 touched = touched.unionByName(deleted.select(F.col(self.doc_id).alias("doc_id"))).distinct()

@@ -85,3 +85,21 @@ def test_common_terms_open_few_blocks(spark, index):
 def test_term_counts(spark):
     frame = spark.createDataFrame([(["a", "b", "b"],), ([],), (None,), (["x"] * 5,)], "t array<string>")
     assert [[tuple(x) for x in r.e] for r in frame.select(term_counts("t").alias("e")).collect()] == [[("a", 1), ("b", 2)], [], [], [("x", 5)]]
+
+
+def test_a_load_moves_postings_once(spark, tmp_path, monkeypatch):
+    """The blocks of a term are made where they are written: one exchange between documents and blocks."""
+    from siltstone.operators import segments as G
+
+    plans = {}
+    append = G.SegmentedIndex._append
+
+    def seen(self, df, name, *partitions):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        append(self, df, name, *partitions)
+
+    monkeypatch.setattr(G.SegmentedIndex, "_append", seen)
+    docs = spark.createDataFrame([("a", "x y x"), ("a", "x z"), ("b", "y"), (None, "y")], "chunk_id string, content string")
+    load = G.SegmentedIndex(spark, str(tmp_path / "one"), fields=("content",)).create().load(docs)
+    assert (load.written, load.rejected) == (2, 1)
+    assert plans["blocks"].count("Exchange") == 1 and plans["terms"].count("Exchange") == 1
