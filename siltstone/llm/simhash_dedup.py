@@ -134,6 +134,7 @@ def near_duplicates(
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
+SIMHASH_SHINGLE = 3
 SHINGLE_BASE = 0xC2B2AE3D27D4EB4F
 BANDS, BAND = 12, 3
 SAMPLE, HOT = 64, 1 << 16
@@ -300,9 +301,9 @@ def similar_documents(
     Two texts link if the Jaccard similarity of their sets is at least ``similarity``, counted on the sets
     themselves (64-bit hashes of shingles); links are transitive. No pair is lost: a set's rarest shingles
     are joined, as many as make sure that a similar set has one of them too. Equal sets are one
-    node. Before that, sets that share a band of minima with the band's first set are compared with it, so
-    a large group of near copies is one part by few pairs, and the join only looks for pairs of different
-    parts. Blank and null texts form one group; null ids name a group only if there is no other.
+    node. Before that, sets whose SimHash fingerprints differ in at most 3 bits (the grid join of `links`) and
+    sets that share a band of minima with the band's first set are compared, so a large group of near copies
+    is one part by few pairs, and the join only looks for pairs of different parts. Blank and null texts form one group; null ids name a group only if there is no other.
     """
     least = Fraction(str(similarity))
     source = texts(docs, id_col, text_col)
@@ -312,22 +313,34 @@ def similar_documents(
             hashes = shingle_set(text, shingle)
             node = set_key(hashes)
             sample = hashes.view(np.int64).tolist() if node % SAMPLE == 0 else None
-            yield key, node, len(hashes), min_cells(hashes) if len(hashes) else [], sample
+            yield key, node, len(hashes), simhash(text, SIMHASH_SHINGLE), min_cells(hashes) if len(hashes) else [], sample
 
-    schema = f"id {id_type(docs, id_col)}, node long, n long, cells array<long>, sample array<long>"
+    schema = f"id {id_type(docs, id_col)}, node long, n long, fingerprint long, cells array<long>, sample array<long>"
     with scratch() as scope:
         return scope.keep(_grouped(source, materialise(map_rows(source, run, schema), "rows"), shingle, least, scope), "similar-documents")
 
 
+def _near_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """``(a, b)``: sets whose fingerprints are within ``radius`` bits, by the grid join; equal fingerprints meet their first set."""
+    prints = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.select("node", "fingerprint").join(prints, "fingerprint").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(prints.select("fingerprint"), radius)
+    a, b = (prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"of_{c}")) for c in ("a", "b"))
+    found = near.join(a, "a").join(b, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return found.union(same)
+
+
 def _grouped(source: DataFrame, rows: DataFrame, shingle: int, least: Fraction, scope: Scope) -> DataFrame:
     """Every row's group from its node, its minima and the samples; ``scope`` owns what is written on the way."""
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("cells").alias("cells")), "nodes")
+    # sets are equal whatever the order of their shingles, so of a set's fingerprints one stands for it
+    kept = [F.min("id").alias("first"), F.min("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.first("cells").alias("cells")]
+    nodes = materialise(rows.groupBy("node").agg(*kept), "nodes")
     cells = materialise(nodes.select("node", "n", F.explode("cells").alias("cell")), "cells")
     stars = cells.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("star"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = cells.join(stars.select("cell", "star"), "cell").filter("node <> star.node")
     sized = F.least("n", "star.n") * least.denominator >= F.greatest("n", "star.n") * least.numerator
-    pairs = met.filter(sized).select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct()
-    links_ = _verified(source, pairs, shingle, least)
+    pairs = met.filter(sized).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
+    links_ = _verified(source, pairs.union(_near_pairs(nodes)).distinct(), shingle, least)
     scope.drop(cells)
 
     parts = connected_components(links_)

@@ -80,3 +80,14 @@ def test_many_near_copies_make_few_pairs(spark):
     texts = {k: " ".join(w if i != k % 140 else f"x{k}" for i, w in enumerate(words)) for k in range(300)}
     texts |= {1000: " ".join(words[:100]), 1001: " ".join(words[:130])}
     assert found(spark, texts) == groups(texts)
+
+
+def test_near_fingerprints_are_compared(spark, monkeypatch):
+    """The first links come from the SimHash grid join; the exact comparison decides them."""
+    asked = []
+    links = simhash_dedup.links
+    monkeypatch.setattr(simhash_dedup, "links", lambda distinct, radius=3: asked.append(radius) or links(distinct, radius))
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "x"]), 3: " ".join(words[::-1]), 4: "", 5: " "}
+    assert found(spark, texts) == groups(texts) | {5: 4} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert asked == [3]
