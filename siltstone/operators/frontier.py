@@ -117,6 +117,8 @@ def follow_redirects(
     """
     target = U.canonical_url(U.resolve_url("location", "url"))
     known = hops.select(F.col("url").alias("current"), F.col("status").alias("_status"), target.alias("target"))
+    # Merged, not sent: every step would hold its own copy of the table in each task.
+    known = known.hint("merge")
     follow = F.col("_status").isin(H.REDIRECT_STATUS) & F.col("target").isNotNull() & (F.col("target") != F.col("current"))
     if allowed is not None:
         follow = follow & allowed

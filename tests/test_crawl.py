@@ -218,3 +218,12 @@ def test_partial_corpus_warning(spark, tmp_path):
     assert warn_if_partial(spark, config) is None
     tables.write_snapshot(spark.createDataFrame([("u",)], "url string"), config.state_db)
     assert "1 URLs" in warn_if_partial(spark, config)
+
+
+def test_redirect_steps_hold_no_copy_of_the_responses(spark):
+    from siltstone.operators import frontier
+
+    hops = spark.createDataFrame([("https://a.com/1", 301, "/2"), ("https://a.com/2", 200, None)], "url string, status int, location string")
+    walked = frontier.follow_redirects(hops.select("url"), hops)
+    assert sorted(tuple(r) for r in walked.collect()) == [("https://a.com/1", "https://a.com/2", 200, 1), ("https://a.com/2", "https://a.com/2", 200, 0)]
+    assert "Broadcast" not in walked._jdf.queryExecution().executedPlan().toString()
