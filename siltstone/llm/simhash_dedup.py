@@ -261,35 +261,37 @@ def _prefixes(docs: DataFrame, hot: DataFrame, shingle: int, similarity: Fractio
 def _candidates(prefixes: DataFrame, similarity: Fraction) -> DataFrame:
     """``(a, b)``: all pairs of different ``part`` that the prefix rule cannot rule out.
 
-    Shingles whose sets all stand in one part take no part in the join. Similar sets share a tenth of a set's
-    size in rare shingles, so a passage that many texts share makes few pairs.
+    Similar sets share ``similarity / (1 + similarity)`` of both sizes, and from their first common shingle on both
+    must have room for that many. The join tests this where two sets meet, so it only makes pairs at what may be their
+    first common shingle: copies with too many changes of one text, which stand far down their order, make none. Shingles
+    whose sets all stand in one part take no part in it. Then the pair's prefixes must have enough in common.
     """
-    posts = prefixes.select("part", F.explode("prefix").alias("shingle"))
+    above, below = similarity.numerator, similarity.denominator
+    first = F.col("n") - F.ceil(F.col("n") * above / below) + 1  # places where the first common shingle may stand
+    posts = prefixes.select("part", F.explode(F.slice("prefix", F.lit(1), first.cast("int"))).alias("shingle"))
     shared = posts.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("shingle")
     shared = materialise(shared, "shared")
     accepts = _filter(shared, "shingle")
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         for node, part, n, prefix in rows:
-            values = np.array(prefix, np.int64)
+            values = np.array(prefix[: n - math.ceil(similarity * n) + 1], np.int64)
             for at in np.flatnonzero(accepts(values)).tolist():
                 yield node, part, n, at, prefix[at]
 
     posts = map_rows(prefixes.select("node", "part", "n", "prefix"), run, "node long, part long, n long, at long, shingle long")
     posts = materialise(posts, "posts")
     x, y = posts.alias("x"), posts.alias("y")
-    above, below = F.lit(similarity.numerator), F.lit(similarity.denominator)
-    sized = F.least("x.n", "y.n") * below >= F.greatest("x.n", "y.n") * above
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & sized
-    met = x.join(y, on).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
-    met = met.agg(F.count(F.lit(1)).alias("shared"), F.min("x.at").alias("ax"), F.min("y.at").alias("ay"))
-    # similar sets have s / (1 + s) of both sizes in common; what stands before the first common shingle is not
-    # shared, and of a prefix all are shared but as many as the whole set may lack
+    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (above + below) >= (F.col("x.n") + F.col("y.n")) * above
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") < F.col("y.part")) & room
+    met = materialise(x.join(y, on).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct(), "met")
+    left = prefixes.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("prefix").alias("px"))
+    right = prefixes.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("prefix").alias("py"))
+    # of a prefix all are shared but as many as the whole set may lack
     overlap = F.ceil((F.col("nx") + F.col("ny")) * above / (above + below))
-    most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
     spare = [F.floor(F.col(n) / SHARED) + 1 - F.ceil(F.col(n) * above / below) for n in ("nx", "ny")]  # prefix less whole
-    near = (F.col("shared") >= overlap + F.least(*spare)) & (most >= overlap)
-    return met.filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    both = met.join(left, "x").join(right, "y").filter(F.size(F.array_intersect("px", "py")) >= overlap + F.least(*spare))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_documents(

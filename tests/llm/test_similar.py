@@ -1,6 +1,7 @@
 """Near-duplicates of the pipeline against the Jaccard similarity of all pairs."""
 
 import collections
+import contextlib
 import itertools
 
 import corpus_pipeline
@@ -91,3 +92,23 @@ def test_near_fingerprints_are_compared(spark, monkeypatch):
     texts = {1: " ".join(words), 2: " ".join([*words[:-1], "x"]), 3: " ".join(words[::-1]), 4: "", 5: " "}
     assert found(spark, texts) == groups(texts) | {5: 4} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
     assert asked == [3]
+
+
+def test_changed_copies_that_do_not_link_make_no_pairs(spark, monkeypatch):
+    """Texts with a few more changes of one template than the threshold allows meet in no row of the join."""
+    written, materialise = {}, simhash_dedup.materialise
+    monkeypatch.setattr(simhash_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(simhash_dedup, "materialise", lambda df, name="step", *rest: written.setdefault(name, materialise(df, name, *rest)))
+    monkeypatch.setattr(simhash_dedup, "scratch", lambda: contextlib.nullcontext(Kept()))
+    words = [f"w{i}" for i in range(150)]
+    texts = {k: " ".join(f"x{k}y{i}" if i in (20 + k % 7, 60 + k % 11, 100 + k % 5, 130 + k % 3) else w for i, w in enumerate(words)) for k in range(60)}
+    assert found(spark, texts) == groups(texts) == {k: k for k in texts}
+    assert written["posts"].count() > 0 and written["met"].count() == 0
+
+
+class Kept:
+    def keep(self, df, name="result"):
+        return df
+
+    def drop(self, *dfs):
+        pass
